@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections.abc import Mapping
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,15 +28,6 @@ def node_key(provider: Column, machine: Column) -> Column:
     return F.concat_ws("_", provider, machine)
 
 
-def day_angle(window_ts: Column) -> Column:
-    return (window_ts % 86400) / F.lit(86400.0) * F.lit(2 * math.pi)
-
-
-def zscore(x: Column, mean: Column, std: Column) -> Column:
-    """Distance from the mean in standard deviations, within -5..5; a flat series gives 0."""
-    return clip((x - mean) / (std + F.lit(1e-6)), -5.0, 5.0)
-
-
 def stable_uniform(*parts: Column) -> Column:
     """Number in [0, 1) that depends on the values only, so a recomputed task draws the same one."""
     digest = F.md5(F.concat_ws("|", *parts))
@@ -51,28 +39,31 @@ def metric_of(feature: str) -> str:
     return re.sub(r"^cl_", "", feature).split("_")[0]
 
 
-def scaled(feature: str, stats: Mapping[str, Column], mode: str) -> Column:
-    """One feature on the scale shared by all providers.
+def scaled(feature: str, mode: str) -> str:
+    """SQL text that puts one feature on the scale shared by all providers.
 
-    `stats` holds the provider's mean and spreads as columns (or literals). `mode` picks the unit of changes:
-    `spread` = deviation of the level, `delta` = deviation of the one-step change.
+    The provider's statistics are columns of the same row (`mu_*`, `sd_*`, `dsd_*`). `mode` picks the unit of
+    changes: `spread` = deviation of the level, `delta` = deviation of the one-step change.
     """
-    x = F.col(feature)
     if UNSCALED_FEATURE.search(feature):
-        return x
+        return feature
     if feature.startswith("n_rec"):
-        centred = x - stats["mu_n"] if feature in COUNT_LEVELS else x
-        return centred / stats["sd_n"]
+        centred = f"({feature} - mu_n)" if feature in COUNT_LEVELS else feature
+        return f"{centred} / sd_n"
     metric = metric_of(feature)
     if LEVEL_FEATURE.match(feature):
-        return (x - stats[f"mu_{metric}"]) / stats[f"sd_{metric}"]
-    return x / change_unit(stats, metric, mode)
+        return f"({feature} - mu_{metric}) / sd_{metric}"
+    return f"{feature} / {change_unit(metric, mode)}"
 
 
-def change_unit(stats: Mapping[str, Column], metric: str, mode: str) -> Column:
-    return stats[{"delta": f"dsd_{metric}", "spread": f"sd_{metric}"}[mode]]
+def change_unit(metric: str, mode: str) -> str:
+    return {"delta": f"dsd_{metric}", "spread": f"sd_{metric}"}[mode]
 
 
 def settled(x: Column, digits: int = 6) -> Column:
     """Rounded for reports: the tiny shift keeps decimal ties and minus zero the same on every engine."""
     return F.round(x + F.lit(1.3e-9), digits) + F.lit(0.0)
+
+
+def settled_sql(name: str, digits: int = 6) -> str:
+    return f"round({name} + 1.3e-9D, {digits}) + 0D AS {name}"

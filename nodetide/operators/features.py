@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nodetide.config import TraceConfig
-from nodetide.functions.expressions import day_angle, zscore
 from nodetide.operators.grid import chunked_grid
 
 METRICS = ("cpu", "mem")
@@ -80,14 +79,47 @@ def join_context(rows: DataFrame, context: DataFrame, small: bool) -> DataFrame:
 
 
 # --------------------------------------------------------------- window features
-def _pooled(parts: list[tuple[Column, Column, Column | None]]) -> tuple[Column, Column | None]:
-    """Mean and variance of joined blocks from each block's (rows, mean, variance); missing blocks count 0 rows."""
-    rows = sum((n for n, _, _ in parts[1:]), parts[0][0])
-    mean = sum((n * m for n, m, _ in parts[1:]), parts[0][0] * parts[0][1]) / rows
-    if parts[0][2] is None:
-        return mean, None
-    spread = [n * (v + (m - mean) * (m - mean)) for n, m, v in parts]
-    return mean, sum(spread[1:], spread[0]) / rows
+# The wide column lists below are SQL text: one call to Spark per column keeps building the plan cheap.
+SERIES = "PARTITION BY node_id, chunk ORDER BY window_ts"
+
+
+def _rolling(n: int) -> str:
+    return f"({SERIES} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+def _join_blocks(df: DataFrame, short: int, size: int, spread: bool, extrema: tuple[str, ...]) -> DataFrame:
+    """Frames of `size` rows from those of `short` rows; blocks cut off by the series start count fewer rows."""
+    offsets = range(0, size, short)
+    stats = ("mean",) + (("var",) if spread else ()) + extrema
+
+    def block(m: str, stat: str, offset: int) -> str:
+        return f"{m}_{stat}{short}" if offset == 0 else f"_{m}_{stat}{size}_{offset}"
+
+    def weighted(terms: dict[int, str]) -> str:
+        total = " + ".join(f"coalesce(_n{size}_{o} * ({t}), 0D)" for o, t in terms.items())
+        return f"({total}) / ({' + '.join(f'_n{size}_{o}' for o in terms)})"
+
+    lagged = df.selectExpr(
+        "*",
+        *[f"CAST(greatest(least(pos - {o}, {short}), 0) AS DOUBLE) AS _n{size}_{o}" for o in offsets],
+        *[
+            f"lag({m}_{s}{short}, {o}) OVER ({SERIES}) AS _{m}_{s}{size}_{o}"
+            for m in METRICS for s in stats for o in offsets if o
+        ],
+    )
+    means = lagged.selectExpr(
+        "*", *[f"{weighted({o: block(m, 'mean', o) for o in offsets})} AS {m}_mean{size}" for m in METRICS]
+    )
+    made = []
+    for m in METRICS:
+        if spread:
+            off = {o: f"{block(m, 'mean', o)} - {m}_mean{size}" for o in offsets}
+            var = {o: f"{block(m, 'var', o)} + ({off[o]}) * ({off[o]})" for o in offsets}
+            made.append(f"{weighted(var)} AS {m}_var{size}")
+        for s, pick in (("max", "greatest"), ("min", "least")):
+            if s in extrema:
+                made.append(f"{pick}({', '.join(block(m, s, o) for o in offsets)}) AS {m}_{s}{size}")
+    return means.selectExpr("*", *made)
 
 
 def window_features(grid: DataFrame, cfg: TraceConfig, labels: bool = True) -> DataFrame:
@@ -97,114 +129,68 @@ def window_features(grid: DataFrame, cfg: TraceConfig, labels: bool = True) -> D
     of 72. Each level is a handful of lags, so the cost per row does not grow with the frame, and a value
     depends only on the rows in its frame, not on where the series was cut.
     """
-    w = Window.partitionBy("node_id", "chunk").orderBy("window_ts")
-    last6, last12 = w.rowsBetween(-5, 0), w.rowsBetween(-11, 0)
-    warn, err = (F.col("sev") == 1).cast("int"), (F.col("sev") == 2).cast("int")
-
-    base = [
-        "cloud_provider", "node_id", "chunk", "window_ts", "own", "observed", "rn", "cpu", "mem", "n_rec",
-    ]
-    level = grid.select(
+    base = ["cloud_provider", "node_id", "chunk", "window_ts", "own", "observed", "rn", "cpu", "mem", "n_rec"]
+    y = [f"y_{m}_h{h}" for m in METRICS for h in cfg.horizons] if labels else []
+    level = grid.selectExpr(
         *base,
-        F.row_number().over(w).alias("pos"),
-        *[F.lag(m, k).over(w).alias(f"{m}_lag{k}") for m in METRICS for k in cfg.lags],
+        f"row_number() OVER ({SERIES}) AS pos",
+        *[f"lag({m}, {k}) OVER ({SERIES}) AS {m}_lag{k}" for m in METRICS for k in cfg.lags],
         *[
-            agg
+            f"{fn}({m}) OVER {_rolling(6)} AS {m}_{stat}6"
             for m in METRICS
-            for agg in (
-                F.avg(m).over(last6).alias(f"{m}_mean6"),
-                F.var_pop(m).over(last6).alias(f"{m}_var6"),
-                F.max(m).over(last6).alias(f"{m}_max6"),
-                F.min(m).over(last6).alias(f"{m}_min6"),
-            )
+            for fn, stat in (("avg", "mean"), ("var_pop", "var"), ("max", "max"), ("min", "min"))
+        ],
+        f"lag(n_rec, 1) OVER ({SERIES}) AS n_rec_lag1",
+        f"avg(n_rec) OVER {_rolling(12)} AS n_rec_mean12",
+        *[
+            f"sum(CAST(sev = {code} AS INT)) OVER {_rolling(n)} AS {name}_cnt{n}"
+            for n in (6, 12) for code, name in ((1, "warn"), (2, "err"))
         ],
-        F.lag("n_rec", 1).over(w).alias("n_rec_lag1"),
-        F.avg("n_rec").over(last12).alias("n_rec_mean12"),
-        F.sum(warn).over(last6).alias("warn_cnt6"), F.sum(err).over(last6).alias("err_cnt6"),
-        F.sum(warn).over(last12).alias("warn_cnt12"), F.sum(err).over(last12).alias("err_cnt12"),
         *([
-            F.lead(f"{m}_usage_norm", h).over(w).alias(f"y_{m}_h{h}")
+            f"lead({m}_usage_norm, {h}) OVER ({SERIES}) AS y_{m}_h{h}"
             for m in METRICS for h in cfg.horizons
         ] if labels else []),
     )
-
-    def count(size: int, offset: int) -> Column:
-        """Rows that a frame of `size` ending `offset` rows back really has."""
-        return F.greatest(F.least(F.col("pos") - offset, F.lit(size)), F.lit(0))
-
-    def build(df: DataFrame, short: int, size: int, spread: bool, extrema: tuple[str, ...]) -> DataFrame:
-        offsets = range(short, size, short)
-        stats = ["mean"] + (["var"] if spread else []) + list(extrema)
-        lagged = df.select(
-            *df.columns,
-            *[F.lag(f"{m}_{s}{short}", o).over(w).alias(f"_{m}_{s}_{o}") for m in METRICS for s in stats for o in offsets],
-        )
-        made = []
-        for m in METRICS:
-            zero = F.lit(0.0)
-            parts = [(count(short, 0), F.col(f"{m}_mean{short}"), F.col(f"{m}_var{short}") if spread else None)]
-            parts += [
-                (
-                    count(short, o),
-                    F.coalesce(f"_{m}_mean_{o}", zero),
-                    F.coalesce(f"_{m}_var_{o}", zero) if spread else None,
-                )
-                for o in offsets
-            ]
-            mean, var = _pooled(parts)
-            made.append(mean.alias(f"{m}_mean{size}"))
-            if spread:
-                made.append(var.alias(f"{m}_var{size}"))
-            for s, pick in (("max", F.greatest), ("min", F.least)):
-                if s in extrema:
-                    made.append(
-                        pick(F.col(f"{m}_{s}{short}"), *[F.col(f"_{m}_{s}_{o}") for o in offsets]).alias(f"{m}_{s}{size}")
-                    )
-        return lagged.select(*df.columns, *made)
-
-    level = build(level, 6, 12, True, ("max", "min"))
-    level = build(level, 12, 72, True, ("max",))
+    level = _join_blocks(level, 6, 12, True, ("max", "min"))
+    level = _join_blocks(level, 12, 72, True, ("max",))
     if cfg.use_day:
-        level = build(level, 72, 288, False, ())
+        level = _join_blocks(level, 72, 288, False, ())
 
-    angle = day_angle(F.col("window_ts"))
-    return level.select(
+    angle = "(window_ts % 86400) / 86400D * (2 * pi())"
+    return level.selectExpr(
         *base,
-        F.sin(angle).alias("tod_sin"), F.cos(angle).alias("tod_cos"),
+        f"sin({angle}) AS tod_sin", f"cos({angle}) AS tod_cos",
         *[
             c
             for m in METRICS
             for c in (
-                *[F.col(f"{m}_lag{k}") for k in cfg.lags],
-                *[F.col(f"{m}_mean{n}") for n in cfg.means],
-                *[F.sqrt(f"{m}_var{n}").alias(f"{m}_std{n}") for n in cfg.spreads],
-                *[F.col(f"{m}_max{n}") for n in cfg.spreads],
-                F.col(f"{m}_min12"),
+                *[f"{m}_lag{k}" for k in cfg.lags],
+                *[f"{m}_mean{n}" for n in cfg.means],
+                *[f"sqrt({m}_var{n}) AS {m}_std{n}" for n in cfg.spreads],
+                *[f"{m}_max{n}" for n in cfg.spreads],
+                f"{m}_min12",
             )
         ],
-        "n_rec_lag1", "n_rec_mean12", "warn_cnt6", "err_cnt6", "warn_cnt12", "err_cnt12",
-        *[c for c in level.columns if c.startswith("y_")],
+        "n_rec_lag1", "n_rec_mean12", "warn_cnt6", "err_cnt6", "warn_cnt12", "err_cnt12", *y,
     )
 
 
-def derived_columns(cfg: TraceConfig) -> list[Column]:
+def derived_columns(cfg: TraceConfig) -> list[str]:
     """Changes, deviations, slopes, range and z-score from the window features."""
     made = []
     for m in METRICS:
-        c = lambda suffix: F.col(f"{m}_{suffix}")
-        x = F.col(m)
-        made += [(x - c(f"lag{k}")).alias(f"{m}_d{k}") for k in (1, 3, 12)]
-        made.append(((x - c("lag1")) - (c("lag1") - c("lag2"))).alias(f"{m}_accel"))
-        made += [(x - c(f"mean{n}")).alias(f"{m}_dev{n}") for n in cfg.means]
+        made += [f"{m} - {m}_lag{k} AS {m}_d{k}" for k in (1, 3, 12)]
+        made.append(f"({m} - {m}_lag1) - ({m}_lag1 - {m}_lag2) AS {m}_accel")
+        made += [f"{m} - {m}_mean{n} AS {m}_dev{n}" for n in cfg.means]
         made += [
-            (c("mean6") - c("mean12")).alias(f"{m}_slope_short"),
-            (c("mean12") - c("mean72")).alias(f"{m}_slope_long"),
-            (c("max12") - c("min12")).alias(f"{m}_range12"),
-            zscore(x, c("mean72"), c("std72")).alias(f"{m}_z72"),
+            f"{m}_mean6 - {m}_mean12 AS {m}_slope_short",
+            f"{m}_mean12 - {m}_mean72 AS {m}_slope_long",
+            f"{m}_max12 - {m}_min12 AS {m}_range12",
+            f"greatest(-5D, least(5D, ({m} - {m}_mean72) / ({m}_std72 + 1e-6D))) AS {m}_z72",
         ]
         if cfg.use_day:
-            made.append((x - c("lag288")).alias(f"{m}_dday"))
-    made.append((F.col("n_rec") - F.col("n_rec_lag1")).alias("n_rec_d1"))
+            made.append(f"{m} - {m}_lag288 AS {m}_dday")
+    made.append("n_rec - n_rec_lag1 AS n_rec_d1")
     return made
 
 
@@ -227,12 +213,8 @@ def compute_features(metrics: DataFrame, logs: DataFrame | None, cfg: TraceConfi
             context, ["cloud_provider", "window_ts"]
         )
         rows = rows.join(at_samples, ["cloud_provider", "node_id", "window_ts"])
-    return rows.select(
-        "*",
-        (F.col("cpu") - F.col("cl_cpu_mean")).alias("cpu_vs_cl"),
-        (F.col("mem") - F.col("cl_mem_mean")).alias("mem_vs_cl"),
-        *derived_columns(cfg),
-    )
+    relative = [f"{m} - cl_{m}_mean AS {m}_vs_cl" for m in METRICS]
+    return rows.selectExpr("*", *relative, *derived_columns(cfg))
 
 
 # ------------------------------------------------------------------------ splits

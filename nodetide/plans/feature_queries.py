@@ -25,7 +25,7 @@ def sql_columns(names) -> str:
 
 def window_rows(spark, sf):
     """All grid rows with their window features and labels."""
-    grid = G.chunked_grid(T.unified(spark, sf), T.severities(spark, sf), CFG, back=CFG.lookback, ahead=CFG.lookahead)
+    grid = G.chunked_grid(T.metrics(spark, sf), T.severities(spark, sf), CFG, back=CFG.lookback, ahead=CFG.lookahead)
     return X.window_features(grid, CFG).filter("own")
 
 
@@ -41,46 +41,46 @@ def base_sql(names) -> str:
 @query("node_bounds", with_blocks("""
     SELECT cloud_provider, node_id, min(window_ts) AS t_lo, max(window_ts) AS t_hi FROM unified GROUP BY 1, 2"""))
 def node_bounds(spark, sf):
-    return G.node_bounds(T.unified(spark, sf))
+    return G.node_bounds(T.metrics(spark, sf))
 
 
 @query("dense_grid", with_blocks("SELECT * FROM grid"))
 def dense_grid(spark, sf):
-    return G.dense_grid(T.unified(spark, sf), CFG)
+    return G.dense_grid(T.metrics(spark, sf), CFG)
 
 
 @query("grid_left_join", with_blocks(f"""
     SELECT node_id, window_ts, {r6('cpu_usage_norm', 'cpu_usage_norm')}, {r6('mem_usage_norm', 'mem_usage_norm')},
            n_records, observed FROM filled"""))
 def grid_left_join(spark, sf):
-    return settle_all(G.filled_grid(T.unified(spark, sf), None, CFG).select(
+    return settle_all(G.filled_grid(T.metrics(spark, sf), None, CFG).select(
         "node_id", "window_ts", "cpu_usage_norm", "mem_usage_norm", "n_records", "observed"
     ))
 
 
 @query("log_left_join", with_blocks("SELECT node_id, window_ts, sev FROM filled"))
 def log_left_join(spark, sf):
-    return G.filled_grid(T.unified(spark, sf), T.severities(spark, sf), CFG).select("node_id", "window_ts", "sev")
+    return G.filled_grid(T.metrics(spark, sf), T.severities(spark, sf), CFG).select("node_id", "window_ts", "sev")
 
 
 @query("locf", with_blocks(f"""
     SELECT node_id, window_ts, {r6('cpu', 'cpu')}, {r6('mem', 'mem')}, n_rec FROM filled"""))
 def locf(spark, sf):
-    return settle_all(G.filled_grid(T.unified(spark, sf), None, CFG).select(
+    return settle_all(G.filled_grid(T.metrics(spark, sf), None, CFG).select(
         "node_id", "window_ts", "cpu", "mem", "n_rec"
     ))
 
 
 @query("grid_row_number", with_blocks("SELECT node_id, window_ts, CAST(rn AS BIGINT) AS rn FROM filled"))
 def grid_row_number(spark, sf):
-    return G.filled_grid(T.unified(spark, sf), None, CFG).select("node_id", "window_ts", "rn")
+    return G.filled_grid(T.metrics(spark, sf), None, CFG).select("node_id", "window_ts", "rn")
 
 
 @query("filled_grid", with_blocks(f"""
     SELECT cloud_provider, node_id, window_ts, observed, {r6('cpu', 'cpu')}, {r6('mem', 'mem')}, n_rec, sev,
            CAST(rn AS BIGINT) AS rn FROM filled"""))
 def filled_grid(spark, sf):
-    return settle_all(G.filled_grid(T.unified(spark, sf), T.severities(spark, sf), CFG).select(
+    return settle_all(G.filled_grid(T.metrics(spark, sf), T.severities(spark, sf), CFG).select(
         "cloud_provider", "node_id", "window_ts", "observed", "cpu", "mem", "n_rec", "sev", "rn"
     ))
 
@@ -90,13 +90,13 @@ def filled_grid(spark, sf):
     SELECT cloud_provider, window_ts, {', '.join(r6(c, c) for c in O.CONTEXT_NAMES[:6] if not c.endswith('d1'))}
     FROM context"""))
 def cluster_context(spark, sf):
-    return settle_all(X.cluster_context(T.unified(spark, sf)))
+    return settle_all(X.cluster_context(T.metrics(spark, sf)))
 
 
 @query("context_delta", with_blocks(f"""
     SELECT cloud_provider, window_ts, {r6('cl_cpu_d1', 'cl_cpu_d1')}, {r6('cl_mem_d1', 'cl_mem_d1')} FROM context"""))
 def context_delta(spark, sf):
-    context = X.context_delta(X.cluster_context(T.unified(spark, sf)), CFG)
+    context = X.context_delta(X.cluster_context(T.metrics(spark, sf)), CFG)
     return settle_all(context.select("cloud_provider", "window_ts", "cl_cpu_d1", "cl_mem_d1"))
 
 
@@ -104,7 +104,7 @@ def context_delta(spark, sf):
     SELECT cloud_provider, node_id, window_ts, {', '.join(r6(c, c) for c in O.CONTEXT_NAMES[:6])}
     FROM unified JOIN context USING (cloud_provider, window_ts)"""))
 def context_broadcast_join(spark, sf):
-    metrics = T.unified(spark, sf)
+    metrics = T.metrics(spark, sf)
     small = X.context_fits(X.provider_spans(metrics, CFG), CFG)
     context = X.context_delta(X.cluster_context(metrics), CFG)
     return settle_all(X.join_context(metrics.select(*KEY), context, small))
@@ -148,13 +148,18 @@ def time_of_day(spark, sf):
 
 # ---------------------------------------------------------------------- features
 def feature_rows(spark, sf):
-    metrics = T.unified(spark, sf)
+    metrics = T.metrics(spark, sf)
     small = X.context_fits(X.provider_spans(metrics, CFG), CFG)
     return X.compute_features(metrics, T.severities(spark, sf), CFG, small)
 
 
 def features(spark, sf, cfg=CFG):
-    return X.feature_table(T.unified(spark, sf, cfg), T.severities(spark, sf, cfg), cfg)
+    return X.feature_table(T.metrics(spark, sf, cfg), T.severities(spark, sf, cfg), cfg)
+
+
+def feature_stage(spark, sf, cfg=CFG):
+    """The feature table as a stage table, partitioned by provider."""
+    return T.staged(spark, ("features", sf, cfg), lambda: features(spark, sf, cfg), "cloud_provider")
 
 
 @query("base_features", with_blocks(f"""
@@ -181,14 +186,14 @@ def clip_zscore(spark, sf):
 
 @query("observed_after_warmup", with_blocks("SELECT node_id, window_ts, CAST(rn AS BIGINT) AS rn FROM observed_rows"))
 def observed_after_warmup(spark, sf):
-    grid = G.filled_grid(T.unified(spark, sf), None, CFG)
+    grid = G.filled_grid(T.metrics(spark, sf), None, CFG)
     return X.observed_after_warmup(grid.filter("observed"), CFG).select("node_id", "window_ts", "rn")
 
 
 @query("bounds_join", with_blocks("""
     SELECT node_id, window_ts, lo, hi FROM unified JOIN bounds USING (cloud_provider)"""))
 def bounds_join(spark, sf):
-    metrics = T.unified(spark, sf)
+    metrics = T.metrics(spark, sf)
     return L.per_provider(metrics, X.provider_bounds(metrics)).select("node_id", "window_ts", "lo", "hi")
 
 
@@ -199,13 +204,13 @@ SPLIT_SQL = with_blocks(f"""
 
 @query("split_condition_lookup", SPLIT_SQL)
 def split_condition_lookup(spark, sf):
-    metrics = T.unified(spark, sf)
+    metrics = T.metrics(spark, sf)
     return X.chrono_split(metrics, X.provider_bounds(metrics), CFG).select("node_id", "window_ts", "split")
 
 
 @query("chrono_split", SPLIT_SQL)
 def chrono_split(spark, sf):
-    metrics = T.unified(spark, sf)
+    metrics = T.metrics(spark, sf)
     return X.literal_split(metrics, X.provider_spans(metrics, CFG), CFG).select("node_id", "window_ts", "split")
 
 
@@ -218,7 +223,7 @@ def feature_table(spark, sf):
 @query("feature_columns", with_blocks(f"""
     SELECT node_id, window_ts, {sql_columns([n for n in O.FEATURE_NAMES if not n.startswith('n_rec')])} FROM features"""))
 def feature_columns(spark, sf):
-    table = features(spark, sf)
+    table = feature_stage(spark, sf)
     return settle_all(table.select("node_id", "window_ts", *X.feature_columns(table, use_counts=False)))
 
 
@@ -226,7 +231,7 @@ def feature_columns(spark, sf):
     SELECT count(*) AS rows, count(*) FILTER (WHERE {' OR '.join(f'{n} IS NULL' for n in O.FEATURE_NAMES)}) AS rows_with_null
     FROM features"""))
 def feature_null_count(spark, sf):
-    return X.null_feature_rows(features(spark, sf))
+    return X.null_feature_rows(feature_stage(spark, sf))
 
 
 @query("split_summary", with_blocks("""
@@ -236,4 +241,4 @@ def feature_null_count(spark, sf):
            round(sqrt(avg(pow(y_mem_h1 - mem, 2))), 4) AS base_rmse_mem
     FROM features GROUP BY 1, 2 ORDER BY 1, 2"""))
 def split_summary(spark, sf):
-    return X.split_summary(features(spark, sf))
+    return X.split_summary(feature_stage(spark, sf))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nodetide.config import INSTANCE_PROVIDER, PERCENT_PROVIDER
-from nodetide.functions.expressions import bucket, clamp01, node_key, settled
+from nodetide.functions.expressions import bucket, clamp01, node_key, settled_sql
 from nodetide.operators import logs as L
 from nodetide.operators import preprocess as P
 from nodetide.plans import telemetry as T
@@ -26,7 +26,7 @@ UNIFIED_SQL = with_blocks(f"""
 
 def settle(df, *columns):
     """Round the given double columns for the comparison, keep the rest."""
-    return df.select(*[settled(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+    return df.selectExpr(*[settled_sql(c) if c in columns else c for c in df.columns])
 
 
 def settle_all(df):
@@ -267,13 +267,9 @@ PARSED = {
            CASE WHEN level IN ('ERROR', 'CRITICAL') THEN 2 ELSE 1 END AS sev
     FROM parsed WHERE level <> 'INFO'""", **PARSED))
 def log_parse(spark, sf):
-    lines = T.log_lines(spark, sf)
-    return L.parse_all({
-        p: lines.filter(F.col("cloud_provider") == p).select(F.col("log_line").alias("value"))
-        for p in CFG.providers
-    })
+    return T.parsed_logs(spark, sf)
 
 
 @query("log_severity_max", with_blocks("SELECT * FROM sev"))
 def log_severity_max(spark, sf):
-    return T.severities(spark, sf)
+    return L.severity_max(T.parsed_logs(spark, sf))

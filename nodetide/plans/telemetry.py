@@ -12,11 +12,32 @@ from pyspark.sql import functions as F
 from nodetide.config import PERCENT_COLUMNS, TraceConfig
 from nodetide.operators import logs as L
 from nodetide.operators import preprocess as P
+from nodetide.session import scratch_path
+from nodetide.sources.writers import write_partitioned
 
 TRACE_EPOCH_SECONDS = 1704067200  # 2024-01-01 00:00:00, second 0 of the trace
 CHECK = TraceConfig(step=3600, use_day=False, chunk_steps=240)
 
 
+_STAGED: dict[tuple, str] = {}
+
+
+def staged(spark: SparkSession, key: tuple, build, *partition: str) -> DataFrame:
+    """A stage table: built once per session into the shared folder, then read by every later stage.
+
+    Stages hand over written tables, so a lost executor costs a re-read and no stage repeats the work before it.
+    """
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _STAGED:
+        path = scratch_path(spark, str(key[1]))
+        if partition:
+            write_partitioned(build(), path, *partition)
+        else:
+            build().write.parquet(path)
+        _STAGED[key] = path
+    return spark.read.parquet(_STAGED[key])
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf}/events.parquet")
     return rows.select(
@@ -63,8 +84,13 @@ def unified(spark: SparkSession, sf: str, cfg: TraceConfig = CHECK) -> DataFrame
     return P.unified_usage(percent_raw(spark, sf), instance_raw(spark, sf), machine_events(spark, sf), cfg)
 
 
+def metrics(spark: SparkSession, sf: str, cfg: TraceConfig = CHECK) -> DataFrame:
+    """The unified usage as a stage table, partitioned by provider."""
+    return staged(spark, ("unified", sf, cfg), lambda: unified(spark, sf, cfg), "cloud_provider")
+
+
 def classified(spark: SparkSession, sf: str, cfg: TraceConfig = CHECK) -> DataFrame:
-    rows = unified(spark, sf, cfg)
+    rows = metrics(spark, sf, cfg)
     return L.classify(rows, L.log_thresholds(rows))
 
 
@@ -72,10 +98,16 @@ def log_lines(spark: SparkSession, sf: str, cfg: TraceConfig = CHECK) -> DataFra
     return L.render(classified(spark, sf, cfg))
 
 
-def severities(spark: SparkSession, sf: str, cfg: TraceConfig = CHECK) -> DataFrame:
+def parsed_logs(spark: SparkSession, sf: str, cfg: TraceConfig = CHECK) -> DataFrame:
     lines = log_lines(spark, sf, cfg).select("cloud_provider", F.col("log_line").alias("value"))
-    per_provider = {p: lines.filter(F.col("cloud_provider") == p).select("value") for p in cfg.providers}
-    return L.severity_max(L.parse_all(per_provider))
+    return L.parse_all({
+        p: lines.filter(F.col("cloud_provider") == p).select("value") for p in cfg.providers
+    })
+
+
+def severities(spark: SparkSession, sf: str, cfg: TraceConfig = CHECK) -> DataFrame:
+    """Worst severity per node and window, from the parsed log lines, as a stage table."""
+    return staged(spark, ("severity", sf, cfg), lambda: L.severity_max(parsed_logs(spark, sf, cfg)))
 
 
 def arrival_rates(spark: SparkSession, sf: str, cfg: TraceConfig = CHECK) -> DataFrame:

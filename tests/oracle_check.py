@@ -70,6 +70,7 @@ def main(argv: list[str]) -> int:
     names = argv[1:] or list(queries)
     spark = build_session("check", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        "spark.ui.showConsoleProgress": "false",
     })
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
