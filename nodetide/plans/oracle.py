@@ -180,15 +180,16 @@ def with_blocks(body: str, **extra: str) -> str:
     """Prefix `body` with the blocks it uses, in the order they depend on each other."""
     blocks = {**BLOCKS, **extra}
     order: list[str] = []
+    open_blocks: set[str] = set()
 
     def visit(text: str) -> None:
         for name in blocks:
-            if name not in order and re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", text):
+            if name not in open_blocks and re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", text):
+                open_blocks.add(name)
                 visit(blocks[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     visit(body)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({blocks[n]})" for n in order) + "\n" + body
+    return ("WITH RECURSIVE " if "machine" in order else "WITH ") + ",\n".join(f"{n} AS ({blocks[n]})" for n in order) + "\n" + body
