@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("preprocess_queries", "feature_queries", "model_queries", "decision_queries")
+MODULES = ("preprocess_queries", "feature_queries", "model_queries", "decision_queries", "report_queries")
 
 
 def registered():
