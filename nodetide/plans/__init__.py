@@ -2,7 +2,8 @@
 
 import importlib
 
-MODULES = ("preprocess_queries", "feature_queries", "model_queries", "decision_queries", "report_queries")
+MODULES = ("preprocess_queries", "feature_queries", "model_queries", "decision_queries", "report_queries",
+           "training_queries")
 
 
 def registered():
