@@ -3,7 +3,7 @@
 import importlib
 
 MODULES = ("preprocess_queries", "feature_queries", "model_queries", "decision_queries", "report_queries",
-           "training_queries")
+           "training_queries", "stream_queries")
 
 
 def registered():
