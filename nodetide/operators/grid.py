@@ -71,15 +71,15 @@ def _edges(metrics: DataFrame, cfg: TraceConfig, back: int, every_chunk: bool) -
             *ends,
         )
     )
-    node = Window.partitionBy("node_id")
-    order = node.orderBy("chunk")
+    order = Window.partitionBy("node_id").orderBy("chunk")
+    all_chunks = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     chained = per_chunk.select(
         "cloud_provider", "node_id", "chunk", "cut_ts",
         *[f"cut_{v}" for v in VALUES],
-        F.min("first_ts").over(node).alias("lo"),
-        F.max("last_ts").over(node).alias("hi"),
+        F.min("first_ts").over(all_chunks).alias("lo"),
+        F.max("last_ts").over(all_chunks).alias("hi"),
         F.lag("chunk").over(order).alias("prev_chunk"),
         F.lead("chunk").over(order).alias("next_chunk"),
         *[F.last(f"end_{v}", ignorenulls=True).over(past).alias(f"past_{v}") for v in VALUES],

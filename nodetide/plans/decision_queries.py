@@ -207,7 +207,7 @@ def recommend_batch(spark, sf):
     """Nested batches (one row per provider and window) through explode, decision and summary."""
     flat = predictions(spark, sf)
     item = F.struct("node_id", "pred_cpu_util", "pred_mem_util", "cur_cpu_util", "cur_mem_util", "spike")
-    # Batches of at most one chunk of nodes, so no group grows with the cluster.
+    # Each window's nodes are spread over 64 batch rows by hash; a larger cluster takes a larger number.
     batches = flat.withColumn("part", F.pmod(F.xxhash64("node_id"), F.lit(64))).groupBy(
         "cloud_provider", "timestamp", "observed_timestamp", "part"
     ).agg(F.collect_list(item).alias("predictions"))
