@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,20 +79,22 @@ def class_report(matrix: DataFrame) -> DataFrame:
 def auc_roc(rows: DataFrame, actual: str, score: str, buckets: int = 1024) -> DataFrame:
     """Area under the ROC curve by average ranks.
 
-    Equal scores are counted together first. The cumulative count runs inside ranges of scores, with the ranges' own
-    totals added, so the global order never passes through one task.
+    Equal scores are counted together first. The distinct scores are then cut into ranges of about equal size, so
+    neither the global order nor a crowded stretch of scores passes through one task; the cumulative count runs inside
+    each range, with the totals of the ranges before it added.
     """
-    counted = rows.filter(F.col(score).isNotNull() & F.col(actual).isNotNull()).groupBy(
+    counted = rows.filter(F.col(score).isNotNull() & ~F.isnan(score) & F.col(actual).isNotNull()).groupBy(
         F.col(score).cast("double").alias("score")
     ).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(actual).cast("long")).alias("pos")
     )
-    limits = rows.agg(F.min(score).cast("double").alias("lo"), F.max(score).cast("double").alias("hi")).first()
-    lo, width = limits["lo"] or 0.0, max((limits["hi"] or 0.0) - (limits["lo"] or 0.0), 1e-300)
-    bucket = F.least(F.lit(buckets - 1), F.floor((F.col("score") - lo) / width * buckets)).cast("int")
-    placed = counted.withColumn("bucket", bucket)
+    shares = [i / buckets for i in range(1, buckets)] or [0.5]
+    cuts = counted.agg(F.percentile_approx("score", shares, F.lit(10 * buckets)).alias("cuts")).first()["cuts"]
+    edges = [float("-inf"), *sorted(set(cuts or [])), float("inf")]
+    placed = Bucketizer(splits=edges if len(edges) > 2 else [edges[0], 0.0, edges[1]], inputCol="score",
+                        outputCol="bucket").transform(counted)
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("bucket").agg(F.sum("n").alias("bucket_n"))  # at most `buckets` rows
+    totals = placed.groupBy("bucket").agg(F.sum("n").alias("bucket_n"))  # one row per range
     offsets = totals.select("bucket", F.coalesce(F.sum("bucket_n").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     ranked = placed.join(F.broadcast(offsets), "bucket").select(
