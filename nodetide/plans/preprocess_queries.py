@@ -114,7 +114,7 @@ def write_partitioned(spark, sf):
 def write_log_text(spark, sf):
     path = scratch_path(spark, "syslog")
     lines = T.log_lines(spark, sf).filter(F.col("cloud_provider") == INSTANCE_PROVIDER)
-    W.write_log_text(lines.select("log_line"), path)
+    W.write_log_text(lines.select("log_line"), path, files=8)
     return L.severity_max(L.parse(R.read_log_text(spark, path), INSTANCE_PROVIDER))
 
 

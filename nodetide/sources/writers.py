@@ -13,9 +13,14 @@ def write_partitioned(df: DataFrame, path: str, *columns: str) -> None:
     ).parquet(path)
 
 
-def write_log_text(lines: DataFrame, path: str, files: int = 8) -> None:
-    """One string column to text files, at most `files` of them per write task group."""
-    lines.coalesce(files).write.mode("overwrite").text(path)
+def write_log_text(lines: DataFrame, path: str, files: int | None = None) -> None:
+    """One string column to text files.
+
+    A file count, where wanted, is reached by a shuffle of the finished lines: merging partitions instead would pull the
+    work before it into as few tasks.
+    """
+    rows = lines if files is None else lines.repartition(files)
+    rows.write.mode("overwrite").text(path)
 
 
 def write_report_csv(df: DataFrame, path: str) -> None:
@@ -42,8 +47,13 @@ def write_window_feed(rows: DataFrame, path: str, files_per_window: int = 1) ->
 
 
 def replace_partitions(df: DataFrame, path: str, *columns: str) -> None:
-    """Write exactly the partitions present in `df`; running it again changes nothing."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+    """Write exactly the partitions present in `df`; running it again changes nothing.
+
+    Rows are gathered by partition first, and Spark splits a partition too large for one task and joins small ones.
+    """
+    df.hint("rebalance", *columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        *columns
+    ).parquet(path)
 
 
 def json_document(df: DataFrame, **parts) -> DataFrame:

@@ -69,7 +69,7 @@ class StreamJob:
 def seed_history(job: StreamJob, seed: DataFrame) -> None:
     """Put the windows before the stream into its history."""
     rows = job.placed(seed.select(*FEED_COLUMNS)).withColumn("batch", F.lit(-1).cast("bigint"))
-    replace_partitions(rows.repartition("w"), job.path("history"), "block", "w", "batch")
+    replace_partitions(rows, job.path("history"), "block", "w", "batch")
 
 
 def stream_features(job: StreamJob, rows: DataFrame, windows: list[int]) -> DataFrame:
@@ -103,7 +103,7 @@ def process_batch(job: StreamJob, batch: DataFrame, batch_id: int) -> None:
             return
         lo, hi = windows[0], windows[-1]
         rows = job.placed(batch).withColumn("batch", F.lit(batch_id).cast("bigint"))
-        replace_partitions(rows.repartition("w"), job.path("history"), "block", "w", "batch")
+        replace_partitions(rows, job.path("history"), "block", "w", "batch")
     finally:
         batch.unpersist()
 
@@ -112,17 +112,17 @@ def process_batch(job: StreamJob, batch: DataFrame, batch_id: int) -> None:
     features = stream_features(job, history, windows).persist()
     try:
         predictions = job.placed(score(features, job.scorer, cfg.step))
-        replace_partitions(predictions.repartition("w"), job.path("predictions"), "block", "w")
+        replace_partitions(predictions, job.path("predictions"), "block", "w")
         log_until = job.first_window + job.feature_log_windows * cfg.step
         if lo < log_until:
             logged = job.placed(features.filter(F.col("window_ts") < log_until))
-            replace_partitions(logged.repartition("w"), job.path("features_log"), "block", "w")
+            replace_partitions(logged, job.path("features_log"), "block", "w")
     finally:
         features.unpersist()
 
     due = job.between(spark, "predictions", PREDICTION_SCHEMA, lo - cfg.step, hi - cfg.step).drop("block", "w")
     arrived = history.filter(F.col("window_ts").isin(windows))
-    replace_partitions(job.placed(Q.live_error(due, arrived)).coalesce(1), job.path("live_error"), "block", "w")
+    replace_partitions(job.placed(Q.live_error(due, arrived)), job.path("live_error"), "block", "w")
 
 
 def read_feed(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
