@@ -21,6 +21,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nodetide.llm import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    return langid.predict(docs, model)
+
+
 @_query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nodetide.llm import simhash
