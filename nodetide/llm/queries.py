@@ -37,6 +37,13 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
 
+@_query
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nodetide.llm import pii
+
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nodetide.llm import simhash
