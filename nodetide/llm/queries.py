@@ -30,6 +30,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model)
 
 
+@_query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nodetide.llm import packing
+
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nodetide.llm import secrets
