@@ -37,6 +37,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nodetide.llm import idfiles
+    from nodetide.session import scratch_path
+
+    docs, folder = _table(spark, sf_dir, "documents"), scratch_path(spark, "ids")
+    idfiles.write(docs, folder)
+    return idfiles.look_up(spark, folder, docs, "doc_id").withColumnRenamed("key", "doc_id")
+
+
 @_query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nodetide.llm import secrets
