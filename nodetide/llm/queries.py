@@ -68,6 +68,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nodetide.llm import licences
+
+    return licences.digest(licences.find_licences(_table(spark, sf_dir, "documents")))
+
+
 @_query
 def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nodetide.llm import crosspolytope
