@@ -30,6 +30,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model)
 
 
+@_query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nodetide.llm import urls
+
+    rules = (urls.Rule("org/", "allow"), urls.Rule("example.org/es/", "block"), urls.Rule("example.org/en/1", "block"), urls.Rule("com/fr/", "allow"),
+             urls.Rule("com/de/", "block"))
+    return urls.judge(_table(spark, sf_dir, "pages"), urls.UrlConfig(rules))
+
+
 @_query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nodetide.llm import packing
