@@ -18,7 +18,7 @@ def library_ids(text):
     return t.encode(text, add_special_tokens=False).ids
 
 
-PIECES = st.sampled_from(["a", "Word", " ", "  ", "\n", "\n\n", "\t", "é", "ñ", "12", "3.5", "'s", "'ll", "!!", " ", "\x1c", "\x85", "　", "日本", " the", "x" * 60, "\r\n", "🙂"])
+PIECES = st.sampled_from(["a", "Word", " ", "  ", "\n", "\n\n", "\t", "é", "ñ", "12", "3.5", "'s", "'ll", "!!", " ", "\x1c", "\x85", "　", "日本", " the", "x" * 60, "\r\n", "🙂", ",", ".", "&&&", "_", "-"])
 
 
 @settings(max_examples=300, deadline=None)
