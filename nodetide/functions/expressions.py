@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LEVEL_FEATURE = re.compile(r"^((cpu|mem)(_(lag|mean|max|min)\d+)?|cl_(cpu|mem)_mean)$")
-UNSCALED_FEATURE = re.compile(r"(_z72$|^tod_|^warn_|^err_)")
-COUNT_LEVELS = ("n_rec", "n_rec_lag1", "n_rec_mean12")
+# Kind of a feature by the statistic in its name: `level` is measured like the metric itself, `plain` has no unit, all
+# others are changes. Names are (context_)metric(_statistic), the statistic with its number of steps.
+KINDS = {"": "level", "lag": "level", "mean": "level", "max": "level", "min": "level", "z": "plain"}
+UNITLESS = ("tod", "warn", "err")
+COUNTS = "n_rec"
+CONTEXT_PREFIX, CONTEXT_LEVELS = "cl_", ("mean",)
+NAME = re.compile(r"(?P<context>cl_)?(?P<metric>n_rec|[a-z]+)(?:_(?P<statistic>[a-z_]*?)\d*)?$")
 
 
 def bucket(ts: Column, step: int) -> Column:
@@ -34,26 +39,32 @@ def stable_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
+def kind_of(feature: str) -> tuple[str, str]:
+    """(kind, metric) of a feature."""
+    parts = NAME.match(feature)
+    statistic, metric = parts["statistic"] or "", parts["metric"]
+    if metric in UNITLESS:
+        return "plain", metric
+    if parts["context"] and statistic not in CONTEXT_LEVELS:
+        return "change", metric
+    return KINDS.get(statistic, "change"), metric
+
+
 def metric_of(feature: str) -> str:
-    """Metric a feature is measured in: the part after `cl_`, else its prefix."""
-    return re.sub(r"^cl_", "", feature).split("_")[0]
+    """Metric a feature is measured in."""
+    return kind_of(feature)[1]
 
 
 def scaled(feature: str, mode: str) -> str:
     """SQL text that puts one feature on the scale shared by all providers.
 
     The provider's statistics are columns of the same row (`mu_*`, `sd_*`, `dsd_*`). `mode` picks the unit of
-    changes: `spread` = deviation of the level, `delta` = deviation of the one-step change.
+    changes: `spread` = deviation of the level, `delta` = deviation of the one-step change. Counts have one unit.
     """
-    if UNSCALED_FEATURE.search(feature):
-        return feature
-    if feature.startswith("n_rec"):
-        centred = f"({feature} - mu_n)" if feature in COUNT_LEVELS else feature
-        return f"{centred} / sd_n"
-    metric = metric_of(feature)
-    if LEVEL_FEATURE.match(feature):
-        return f"({feature} - mu_{metric}) / sd_{metric}"
-    return f"{feature} / {change_unit(metric, mode)}"
+    kind, metric = kind_of(feature)
+    column = "n" if metric == COUNTS else metric
+    unit = f"sd_{column}" if kind == "level" or metric == COUNTS else change_unit(metric, mode) if kind == "change" else ""
+    return {"plain": feature, "level": f"({feature} - mu_{column}) / {unit}", "change": f"{feature} / {unit}"}[kind]
 
 
 def change_unit(metric: str, mode: str) -> str:

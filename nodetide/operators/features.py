@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nodetide.config import TraceConfig
+from nodetide.operators.providers import few_rows, per_provider
 from nodetide.operators.grid import chunked_grid
 
 METRICS = ("cpu", "mem")
@@ -225,8 +226,8 @@ def provider_bounds(metrics: DataFrame) -> DataFrame:
 
 
 def provider_spans(metrics: DataFrame, cfg: TraceConfig) -> dict[str, tuple[int, int]]:
-    """First and last window per provider; the fixed provider list bounds what reaches the driver."""
-    rows = provider_bounds(metrics.filter(F.col("cloud_provider").isin(*cfg.providers))).collect()
+    """First and last window of every provider there is; a row for each reaches the driver."""
+    rows = few_rows(provider_bounds(metrics)).collect()
     return {r["cloud_provider"]: (r["lo"], r["hi"]) for r in rows}
 
 
@@ -241,10 +242,9 @@ def split_rule(ts: Column, lo: Column, hi: Column, cfg: TraceConfig) -> Column:
 
 
 def chrono_split(rows: DataFrame, bounds: DataFrame, cfg: TraceConfig) -> DataFrame:
-    """Attach the provider's bounds (at most one row per known provider, so broadcast) and keep rows in a split."""
-    bounded = F.broadcast(bounds.filter(F.col("cloud_provider").isin(*cfg.providers)))
+    """Attach the provider's bounds and keep rows in a split."""
     return (
-        rows.join(bounded, "cloud_provider")
+        per_provider(rows, bounds)
         .withColumn("split", split_rule(F.col("window_ts"), F.col("lo"), F.col("hi"), cfg))
         .filter(F.col("split").isNotNull())
         .drop("lo", "hi")

@@ -12,6 +12,7 @@ from nodetide.config import (
     LOG_TIME_FORMAT, PERCENT_PROVIDER, PROVIDERS, SEVERITY_ERROR, SEVERITY_WARN,
 )
 from nodetide.functions.expressions import node_key, stable_uniform
+from nodetide.operators.providers import per_provider
 
 QUANTILE_ACCURACY = 100_000
 
@@ -40,15 +41,6 @@ def log_thresholds(unified: DataFrame) -> DataFrame:
     )
 
 
-def per_provider(df: DataFrame, table: DataFrame, providers=PROVIDERS) -> DataFrame:
-    """Attach one row of figures per provider.
-
-    The filter on the fixed provider list bounds the broadcast side to that many rows.
-    """
-    bounded = table.filter(F.col("cloud_provider").isin(*providers))
-    return df.join(F.broadcast(bounded), "cloud_provider")
-
-
 def classify(unified: DataFrame, thresholds: DataFrame, heartbeat: Column | None = None) -> DataFrame:
     """Reason per row, first rule wins; rows without a reason are dropped."""
     if heartbeat is None:
@@ -122,7 +114,7 @@ def reason_counts(classified: DataFrame) -> DataFrame:
 
 
 def parse(lines: DataFrame, provider: str) -> DataFrame:
-    """Text rows (`value`) of one provider to (node, window, severity); other rows are dropped."""
+    """Text rows (`value`) of one provider to (node, window, severity); other rows, and those with an impossible time, are dropped."""
     pattern = LOG_PATTERNS[provider]
     fields = lines.select(
         F.regexp_extract("value", pattern, 1).alias("ts"),
@@ -139,7 +131,7 @@ def parse(lines: DataFrame, provider: str) -> DataFrame:
         node_key(F.lit(provider), F.col("machine_id")).alias("node_id"),
         (seconds - F.lit(LOG_EPOCH_SECONDS)).alias("window_ts"),
         severity.alias("sev"),
-    ).filter(F.col("sev") > 0)
+    ).filter((F.col("sev") > 0) & F.col("window_ts").isNotNull())
 
 
 def parse_all(lines: dict[str, DataFrame]) -> DataFrame:

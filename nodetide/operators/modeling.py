@@ -2,33 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodetide.config import INSTANCE_PROVIDER, MODELING_COLUMNS, PERCENT_PROVIDER, TraceConfig
 from nodetide.operators.grid import _with_neighbours, chunk_id
-from nodetide.operators.logs import per_provider, provider_quantiles
+from nodetide.operators.logs import provider_quantiles
+from nodetide.operators.providers import per_provider
 
 SHORT_STEPS, LONG_STEPS = 5, 15
 LABEL = "target_cpu_future"
 
 
+def _earlier_rows(rows: DataFrame, cfg: TraceConfig, reach: int) -> DataFrame:
+    """For every chunk with rows, the last two rows of its node that are older than `reach` seconds before it.
+
+    Per chunk at most four rows are kept; the chunks of a node are then chained, a row each.
+    """
+    width, ts = cfg.chunk_steps * cfg.step, F.col("window_ts")
+    whole = F.struct("window_ts", *[c for c in rows.columns if c not in ("window_ts", "cloud_provider", "node_id")])
+    own = rows.withColumn("chunk", chunk_id(ts, cfg))
+
+    def last_two(where=None):
+        kept = whole if where is None else F.when(where, whole)
+        return F.slice(F.sort_array(F.collect_list(kept), asc=False), 1, 2)
+
+    ends = own.groupBy("cloud_provider", "node_id", "chunk").agg(
+        last_two().alias("last"), last_two(ts < (F.col("chunk") + 1) * width - reach).alias("cut"))
+    chain = Window.partitionBy("node_id").orderBy("chunk")
+    before = [F.coalesce(F.lag("last", k).over(chain), F.slice("last", 1, 0)) for k in (1, 2, 3)]
+    nearest = F.when(F.lag("chunk").over(chain) == F.col("chunk") - 1, F.lag("cut").over(chain)).otherwise(before[0])
+    found = ends.select("cloud_provider", "node_id", "chunk", F.slice(F.concat(nearest, before[1], before[2]), 1, 2).alias("found"))
+    return found.select("cloud_provider", "node_id", "chunk", F.inline("found"))
+
+
 def modeling_ready(metrics: DataFrame, arrivals: DataFrame, cfg: TraceConfig) -> DataFrame:
     """Observed rows with lags, means over the last 5 and 15 steps, event counts and the next window's cpu.
 
-    arrivals: node_id, window_ts, error_count, task_arrival_count, instance_arrival_count. A lag older than the
-    longest mean counts as missing, so a chunk needs no more than that much of its neighbour.
+    arrivals: node_id, window_ts, error_count, task_arrival_count, instance_arrival_count. Lags are the previous rows
+    however old: a chunk gets the rows its means reach back to and the last two before those.
     """
     joined = metrics.select("cloud_provider", "node_id", "window_ts", "cpu_usage_norm", "mem_usage_norm").join(
         arrivals, ["node_id", "window_ts"], "left"
     ).na.fill(0, ["error_count", "task_arrival_count", "instance_arrival_count"])
-    rows = _with_neighbours(joined, cfg, LONG_STEPS, 1)
+    rows = _with_neighbours(joined, cfg, LONG_STEPS, 1).unionByName(_earlier_rows(joined, cfg, LONG_STEPS * cfg.step))
     series = "PARTITION BY node_id, chunk ORDER BY window_ts"
-    reach = LONG_STEPS * cfg.step
 
     def lag(column: str, k: int) -> str:
-        return (f"CASE WHEN window_ts - lag(window_ts, {k}) OVER ({series}) <= {reach} "
-                f"THEN lag({column}, {k}) OVER ({series}) END")
+        return f"lag({column}, {k}) OVER ({series})"
 
     def mean(column: str, steps: int) -> str:
         return f"avg({column}) OVER ({series} RANGE BETWEEN {(steps - 1) * cfg.step} PRECEDING AND CURRENT ROW)"
@@ -60,20 +81,23 @@ def null_fill(rows: DataFrame, label: str = LABEL) -> DataFrame:
     return rows.na.fill(0.0, list(MODELING_COLUMNS)).filter(F.col(label).isNotNull())
 
 
-def momentum_features(rows: DataFrame) -> DataFrame:
-    """Changes, deviations and trends, and the label as a change from the current value."""
-    first = rows.selectExpr(
-        "*",
-        f"CASE WHEN cloud_provider = '{INSTANCE_PROVIDER}' THEN 1D ELSE 0D END AS is_source",
-        "cpu_usage_norm - cpu_lag_1 AS cpu_d1", "cpu_lag_1 - cpu_lag_2 AS cpu_d2",
-        "cpu_usage_norm - cpu_avg_5m AS cpu_dev5", "cpu_avg_5m - cpu_avg_15m AS cpu_trend",
-        "mem_usage_norm - mem_lag_1 AS mem_d1", "mem_lag_1 - mem_lag_2 AS mem_d2",
-        "mem_usage_norm - mem_avg_5m AS mem_dev5", "mem_avg_5m - mem_avg_15m AS mem_trend",
-        "task_arrival_count - task_lag_1 AS task_d1", "task_avg_5m - task_avg_15m AS task_trend",
-        "instance_arrival_count - instance_lag_1 AS inst_d1", "cpu_usage_norm - mem_usage_norm AS cpu_mem_gap",
-        "error_count / (task_arrival_count + 1.0D) AS err_per_task", f"{LABEL} - cpu_usage_norm AS resid_label",
-    )
-    return first.withColumn("cpu_accel", F.expr("cpu_d1 - cpu_d2"))
+#: Derived columns that are a difference, by name: (minuend, subtrahend). The names are part of the table's format.
+DIFFERENCES = {
+    **{f"{m}_{name}": (left.format(m=m), right.format(m=m)) for m in ("cpu", "mem") for name, left, right in (
+        ("d1", "{m}_usage_norm", "{m}_lag_1"), ("d2", "{m}_lag_1", "{m}_lag_2"),
+        ("dev5", "{m}_usage_norm", "{m}_avg_5m"), ("trend", "{m}_avg_5m", "{m}_avg_15m"))},
+    **{f"{short}_d1": (f"{kind}_arrival_count", f"{kind}_lag_1") for kind, short in (("task", "task"), ("instance", "inst"))},
+    "task_trend": ("task_avg_5m", "task_avg_15m"), "cpu_mem_gap": ("cpu_usage_norm", "mem_usage_norm"), "resid_label": (LABEL, "cpu_usage_norm"),
+}
+
+
+def momentum_features(rows: DataFrame, source: str = INSTANCE_PROVIDER) -> DataFrame:
+    """Changes, deviations and trends, the label as a change from the current value, and which rows are the source's."""
+    derived = {name: f"{left} - {right}" for name, (left, right) in DIFFERENCES.items()}
+    derived["err_per_task"] = "error_count / (1 + CAST(task_arrival_count AS DOUBLE))"
+    derived["cpu_accel"] = f"({derived['cpu_d1']}) - ({derived['cpu_d2']})"
+    derived["is_source"] = f"CAST(cloud_provider = '{source}' AS DOUBLE)"
+    return rows.selectExpr("*", *[f"{text} AS {name}" for name, text in derived.items()])
 
 
 def quantile_split(rows: DataFrame, horizon: int, source: str = INSTANCE_PROVIDER,
@@ -93,8 +117,8 @@ def quantile_split(rows: DataFrame, horizon: int, source: str = INSTANCE_PROVIDE
     )
 
 
-def row_cap(rows: DataFrame, limit: int, seed: int = 42) -> DataFrame:
-    """A seeded sample of about `limit` rows when there are more; the training budget of the older model."""
+def fit_budget(rows: DataFrame, limit: int, seed: int = 42) -> DataFrame:
+    """The rows a model is fitted on: a seeded sample of about `limit` if there are more. Not for anything that is judged."""
     n = rows.count()
     return rows if n <= limit else rows.sample(False, limit / n, seed)
 

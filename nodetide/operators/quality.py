@@ -128,14 +128,16 @@ def count_errors(rows: DataFrame, pred: str, actual: str) -> DataFrame:
 
 
 def live_error(previous: DataFrame, actual: DataFrame) -> DataFrame:
-    """Error per window of predictions made one window earlier, once their target has arrived."""
+    """Error per window of predictions made one window earlier, once their target has arrived; for each provider where
+    the predictions name it."""
+    by = [c for c in ("cloud_provider",) if c in previous.columns]
     due = previous.select(
-        "node_id", F.col("target_ts").alias("window_ts"), "pred_cpu", "pred_mem", "cur_cpu", "cur_mem"
+        *by, "node_id", F.col("target_ts").alias("window_ts"), "pred_cpu", "pred_mem", "cur_cpu", "cur_mem"
     )
     arrived = actual.filter("cpu_usage_norm IS NOT NULL").select(
         "node_id", "window_ts", "cpu_usage_norm", "mem_usage_norm"
     )
-    return due.join(arrived, ["node_id", "window_ts"]).groupBy("window_ts").agg(
+    return due.join(arrived, ["node_id", "window_ts"]).groupBy(*by, "window_ts").agg(
         F.count(F.lit(1)).alias("n"),
         *[
             F.expr(f"sqrt(avg(pow({who}_{m} - {m}_usage_norm, 2)))").alias(f"rmse_{m}_{label}")
@@ -145,12 +147,13 @@ def live_error(previous: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def running_error(per_window: DataFrame) -> DataFrame:
-    """RMSE over all windows so far; the input is one row per window of the trace."""
-    so_far = Window.orderBy("window_ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """RMSE over all windows so far, of each provider; the input is one row per provider and window, however many nodes."""
+    by = [c for c in ("cloud_provider",) if c in per_window.columns]
+    so_far = Window.partitionBy(*by).orderBy("window_ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     names = [c for c in per_window.columns if c.startswith("rmse_")]
     total = F.sum("n").over(so_far)
     return per_window.select(
-        "window_ts", total.alias("n_total"),
+        *by, "window_ts", total.alias("n_total"),
         *[F.sqrt(F.sum(F.col("n") * F.col(c) * F.col(c)).over(so_far) / total).alias(f"running_{c}") for c in names],
     )
 

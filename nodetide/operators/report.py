@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nodetide.functions.expressions import bucket
 
-POINTS, HORIZON, HOUR_AHEAD = 96, 6, 92
+POINTS, HORIZON, HOUR = 96, 6, 3600
 SERIES = ("cloud_provider", "metric")
 
 
@@ -33,9 +33,14 @@ def forecast_series(actuals: DataFrame, step: int = 1800, predicted: DataFrame |
     return series.withColumn("predicted", F.last("actual", ignorenulls=True).over(before))
 
 
-def overview(series: DataFrame, metrics: tuple[str, ...] = ("cpu", "memory", "taskArrival")) -> DataFrame:
-    """Forecast one hour ahead, one row per provider."""
-    return series.filter(F.col("point") == HOUR_AHEAD).groupBy("cloud_provider").pivot(
+def hour_ahead(step: int) -> int:
+    """The point one hour after the end of the last known one, which is the first of those ahead."""
+    return POINTS - HORIZON + HOUR // step
+
+
+def overview(series: DataFrame, step: int = 1800, metrics: tuple[str, ...] = ("cpu", "memory", "taskArrival")) -> DataFrame:
+    """Forecast one hour ahead, one row per provider; `step` is that of the series."""
+    return series.filter(F.col("point") == hour_ahead(step)).groupBy("cloud_provider").pivot(
         "metric", list(metrics)
     ).agg(F.max("predicted"))
 

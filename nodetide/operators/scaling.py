@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodetide.config import PROVIDERS
 from nodetide.functions.expressions import change_unit, scaled
 from nodetide.operators.features import METRICS, feature_columns
+from nodetide.operators.providers import per_provider
 
 STAT_COLUMNS = ("mu_cpu", "sd_cpu", "mu_mem", "sd_mem", "mu_n", "sd_n", "dsd_cpu", "dsd_mem")
 
@@ -28,10 +28,14 @@ def train_stats(features: DataFrame) -> DataFrame:
     return features.filter("split = 'train'").groupBy("cloud_provider").agg(*[F.expr(e) for e in made])
 
 
-def with_stats(rows: DataFrame, stats: DataFrame, providers=PROVIDERS) -> DataFrame:
-    """Attach the provider's statistics: at most one broadcast row per known provider."""
-    bounded = stats.filter(F.col("cloud_provider").isin(*providers)).select("cloud_provider", *STAT_COLUMNS)
-    return rows.join(F.broadcast(bounded), "cloud_provider")
+#: Statistics of a provider without training rows: no centre, the floors of the spreads.
+WITHOUT_ROWS = {c: 0.0 if c.startswith("mu_") else 1.0 if c == "sd_n" else 1e-4 if c.startswith("dsd_") else 1e-3 for c in STAT_COLUMNS}
+
+
+def with_stats(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """Attach the provider's statistics; rows of a provider without any keep the floors."""
+    joined = per_provider(rows, stats.select("cloud_provider", *STAT_COLUMNS), "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in WITHOUT_ROWS.items()})
 
 
 def scale_features(features: DataFrame, stats: DataFrame, mode: str = "delta",
@@ -81,13 +85,13 @@ def provider_stats(rows: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def zscore_by_provider(rows: DataFrame, stats_long: DataFrame, names: list[str], providers=PROVIDERS) -> DataFrame:
+def zscore_by_provider(rows: DataFrame, stats_long: DataFrame, names: list[str]) -> DataFrame:
     """(x - mean) / std with the row's provider's figures; providers without figures give 0."""
-    known = stats_long.filter(F.col("cloud_provider").isin(*providers) & F.col("col").isin(*names))
+    known = stats_long.filter(F.col("col").isin(*names))
     wide = known.groupBy("cloud_provider").agg(*[
         F.expr(f"max({v}) FILTER (WHERE col = '{n}') AS {n}__{v}") for n in names for v in ("mean", "std")
     ])
-    return rows.join(F.broadcast(wide), "cloud_provider", "left").selectExpr(
+    return per_provider(rows, wide, "left").selectExpr(
         *rows.columns, *[f"coalesce(({n} - {n}__mean) / {n}__std, 0D) AS {n}_z" for n in names]
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from nodetide.operators import features as X
 from nodetide.operators import grid as G
 from nodetide.operators import logs as L
+from nodetide.operators.providers import per_provider
 from nodetide.plans import oracle as O
 from nodetide.plans import telemetry as T
 from nodetide.plans.oracle import r6, with_blocks
@@ -194,7 +195,7 @@ def observed_after_warmup(spark, sf):
     SELECT node_id, window_ts, lo, hi FROM unified JOIN bounds USING (cloud_provider)"""))
 def bounds_join(spark, sf):
     metrics = T.metrics(spark, sf)
-    return L.per_provider(metrics, X.provider_bounds(metrics)).select("node_id", "window_ts", "lo", "hi")
+    return per_provider(metrics, X.provider_bounds(metrics)).select("node_id", "window_ts", "lo", "hi")
 
 
 SPLIT_SQL = with_blocks(f"""

@@ -47,8 +47,8 @@ BLOCKS = {
 }
 
 
-def _lag(c: str, k: int) -> str:
-    return f"CASE WHEN window_ts - lag(window_ts, {k}) OVER w <= {15 * STEP} THEN lag({c}, {k}) OVER w END"
+def _lag(column: str, k: int) -> str:
+    return f"lag({column}, {k}) OVER w"
 
 
 def _mean(c: str, n: int) -> str:
@@ -91,9 +91,23 @@ BLOCKS["momentum"] = """
                    target_cpu_future - cpu_usage_norm AS resid_label
             FROM filled_ready)"""
 _Z = "CASE WHEN stddev_samp({c}) IS NULL OR stddev_samp({c}) < 1e-9 THEN 1.0 ELSE stddev_samp({c}) END"
+_MARKS = f"""(SELECT cloud_provider, quantile_disc(timestamp_sec, 0.06) AS q06, quantile_disc(timestamp_sec, 0.08) AS q08,
+        quantile_disc(timestamp_sec, 0.10) AS q10, quantile_disc(timestamp_sec, 0.80) AS q80 FROM filled_ready GROUP BY 1)"""
+BLOCKS["parts"] = f"""
+        SELECT * FROM (SELECT f.*, CASE
+            WHEN cloud_provider = 'google' AND timestamp_sec <= q80 - {STEP} THEN 'train'
+            WHEN cloud_provider = 'google' AND timestamp_sec > q80 THEN 'valid'
+            WHEN cloud_provider = 'alibaba' AND timestamp_sec <= q06 - {STEP} THEN 'fit'
+            WHEN cloud_provider = 'alibaba' AND timestamp_sec > q06 AND timestamp_sec <= q08 - {STEP} THEN 'calibration'
+            WHEN cloud_provider = 'alibaba' AND timestamp_sec > q08 AND timestamp_sec <= q10 - {STEP} THEN 'valid'
+            WHEN cloud_provider = 'alibaba' AND timestamp_sec > q10 + {STEP} THEN 'test' END AS part
+            FROM filled_ready f JOIN {_MARKS} USING (cloud_provider)) WHERE part IS NOT NULL"""
+BLOCKS["pooled"] = """
+        SELECT m.* FROM momentum m JOIN (SELECT node_id, timestamp_sec FROM parts WHERE part IN ('train', 'fit')) p
+             ON p.node_id = m.node_id AND p.timestamp_sec = m.timestamp_sec"""
 STAT_NAMES = list(MODELING_COLUMNS) + list(MODELING_DERIVED)
 BLOCKS["stats_long"] = " UNION ALL ".join(
-    f"SELECT cloud_provider, '{c}' AS col, avg({c}) AS mean, {_Z.format(c=c)} AS std FROM momentum GROUP BY 1"
+    f"SELECT cloud_provider, '{c}' AS col, avg({c}) AS mean, {_Z.format(c=c)} AS std FROM pooled GROUP BY 1"
     for c in STAT_NAMES
 )
 
@@ -260,29 +274,29 @@ def ols_1d(spark, sf):
 def predictions(spark, sf):
     """The 6-row mean as the forecast of the next window, in the stream's prediction layout."""
     return feature_stage(spark, sf).selectExpr(
-        "node_id", "cpu_mean6 AS pred_cpu", "mem_mean6 AS pred_mem", "cpu AS cur_cpu", "mem AS cur_mem",
+        "cloud_provider", "node_id", "cpu_mean6 AS pred_cpu", "mem_mean6 AS pred_mem", "cpu AS cur_cpu", "mem AS cur_mem",
         "window_ts", f"window_ts + {CFG.step} AS target_ts",
     )
 
 
 RMSES = ("rmse_cpu_model", "rmse_cpu_persist", "rmse_mem_model", "rmse_mem_persist")
 BLOCKS["live"] = f"""
-        SELECT u.window_ts, count(*) AS n, sqrt(avg(pow(cpu_mean6 - u.cpu_usage_norm, 2))) AS rmse_cpu_model,
+        SELECT u.cloud_provider, u.window_ts, count(*) AS n, sqrt(avg(pow(cpu_mean6 - u.cpu_usage_norm, 2))) AS rmse_cpu_model,
                sqrt(avg(pow(cpu - u.cpu_usage_norm, 2))) AS rmse_cpu_persist,
                sqrt(avg(pow(mem_mean6 - u.mem_usage_norm, 2))) AS rmse_mem_model,
                sqrt(avg(pow(mem - u.mem_usage_norm, 2))) AS rmse_mem_persist
-        FROM features f JOIN unified u ON u.node_id = f.node_id AND u.window_ts = f.window_ts + {STEP} GROUP BY 1"""
+        FROM features f JOIN unified u ON u.node_id = f.node_id AND u.window_ts = f.window_ts + {STEP} GROUP BY 1, 2"""
 
 
-@query("live_error_join", sql(f"SELECT window_ts, n, {columns(*RMSES)} FROM live"))
+@query("live_error_join", sql(f"SELECT cloud_provider, window_ts, n, {columns(*RMSES)} FROM live"))
 def live_error_join(spark, sf):
     return settle_all(Q.live_error(predictions(spark, sf), T.metrics(spark, sf)))
 
 
 @query("running_error", sql(f"""
-    SELECT window_ts, CAST(sum(n) OVER w AS BIGINT) AS n_total,
+    SELECT cloud_provider, window_ts, CAST(sum(n) OVER w AS BIGINT) AS n_total,
            {', '.join(r6(f'sqrt(sum(n * {c} * {c}) OVER w / sum(n) OVER w)', f'running_{c}') for c in RMSES)}
-    FROM live WINDOW w AS (ORDER BY window_ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
+    FROM live WINDOW w AS (PARTITION BY cloud_provider ORDER BY window_ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
 def running_error(spark, sf):
     return settle_all(Q.running_error(Q.live_error(predictions(spark, sf), T.metrics(spark, sf))))
 
@@ -369,43 +383,34 @@ def momentum_features(spark, sf):
     return settle_all(momentum(spark, sf).select("node_id", "timestamp_sec", "is_source", *MODELING_DERIVED, "resid_label"))
 
 
+def training_pool(spark, sf):
+    """Rows the statistics may be taken from: the source's training part and the target's fit part."""
+    return M.quantile_split(momentum(spark, sf), CFG.step).filter("part IN ('train', 'fit')")
+
+
 @query("provider_stats", sql(f"SELECT cloud_provider, col, {columns('mean', 'std')} FROM stats_long"))
 def provider_stats(spark, sf):
-    return settle_all(S.provider_stats(momentum(spark, sf), STAT_NAMES))
+    return settle_all(S.provider_stats(training_pool(spark, sf), STAT_NAMES))
 
 
 @query("scaling_stats_long", sql(f"SELECT cloud_provider, col, {columns('mean', 'std')} FROM stats_long"))
 def scaling_stats_long(spark, sf):
     path = scratch_path(spark, "scaling-stats")
-    S.provider_stats(momentum(spark, sf), STAT_NAMES).write.mode("overwrite").parquet(path)
+    S.provider_stats(training_pool(spark, sf), STAT_NAMES).write.mode("overwrite").parquet(path)
     return settle_all(spark.read.parquet(path))
 
 
 _ZSQL = ", ".join(
     r6(f"({c} - (SELECT mean FROM stats_long l WHERE l.col = '{c}' AND l.cloud_provider = m.cloud_provider)) / "
        f"(SELECT std FROM stats_long l WHERE l.col = '{c}' AND l.cloud_provider = m.cloud_provider)", f"{c}_z")
-    for c in STAT_NAMES[:19]
+    for c in STAT_NAMES
 )
 
 
 @query("zscore_by_provider", sql(f"SELECT node_id, timestamp_sec, {_ZSQL} FROM momentum m"))
 def zscore_by_provider(spark, sf):
-    rows, names = momentum(spark, sf), STAT_NAMES[:19]
-    scaled = S.zscore_by_provider(rows, S.provider_stats(rows, names), names)
-    return settle_all(scaled.select("node_id", "timestamp_sec", *[f"{c}_z" for c in names]))
-
-
-_MARKS = f"""(SELECT cloud_provider, quantile_disc(timestamp_sec, 0.06) AS q06, quantile_disc(timestamp_sec, 0.08) AS q08,
-        quantile_disc(timestamp_sec, 0.10) AS q10, quantile_disc(timestamp_sec, 0.80) AS q80 FROM filled_ready GROUP BY 1)"""
-BLOCKS["parts"] = f"""
-        SELECT * FROM (SELECT f.*, CASE
-            WHEN cloud_provider = 'google' AND timestamp_sec <= q80 - {STEP} THEN 'train'
-            WHEN cloud_provider = 'google' AND timestamp_sec > q80 THEN 'valid'
-            WHEN cloud_provider = 'alibaba' AND timestamp_sec <= q06 - {STEP} THEN 'fit'
-            WHEN cloud_provider = 'alibaba' AND timestamp_sec > q06 AND timestamp_sec <= q08 - {STEP} THEN 'calibration'
-            WHEN cloud_provider = 'alibaba' AND timestamp_sec > q08 AND timestamp_sec <= q10 - {STEP} THEN 'valid'
-            WHEN cloud_provider = 'alibaba' AND timestamp_sec > q10 + {STEP} THEN 'test' END AS part
-            FROM filled_ready f JOIN {_MARKS} USING (cloud_provider)) WHERE part IS NOT NULL"""
+    scaled = S.zscore_by_provider(momentum(spark, sf), S.provider_stats(training_pool(spark, sf), STAT_NAMES), STAT_NAMES)
+    return settle_all(scaled.select("node_id", "timestamp_sec", *[f"{c}_z" for c in STAT_NAMES]))
 
 
 @query("embargo_quantile_split", sql("SELECT node_id, timestamp_sec, part FROM parts"))

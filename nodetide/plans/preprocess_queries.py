@@ -110,12 +110,15 @@ def write_partitioned(spark, sf):
 
 
 @query("write_log_text", with_blocks("""
-    SELECT node_id, window_ts, sev FROM sev WHERE node_id LIKE 'google%'"""))
+    SELECT node_id, window_ts, sev FROM sev"""))
 def write_log_text(spark, sf):
-    path = scratch_path(spark, "syslog")
-    lines = T.log_lines(spark, sf).filter(F.col("cloud_provider") == INSTANCE_PROVIDER)
-    W.write_log_text(lines.select("log_line"), path, files=8)
-    return L.severity_max(L.parse(R.read_log_text(spark, path), INSTANCE_PROVIDER))
+    """Both formats, each to its own folder, read back and parsed."""
+    lines, found = T.log_lines(spark, sf), {}
+    for provider in CFG.providers:
+        path = scratch_path(spark, "syslog")
+        W.write_log_text(lines.filter(F.col("cloud_provider") == provider).select("log_line"), path)
+        found[provider] = R.read_log_text(spark, path)
+    return L.severity_max(L.parse_all(found))
 
 
 # ------------------------------------------------- projections, filters, rollups
@@ -157,9 +160,11 @@ def unit_normalise(spark, sf):
 
 
 @query("node_key", with_blocks("""
-    SELECT 'alibaba_' || CAST(machine AS VARCHAR) AS node_id, count(*) AS n FROM tele GROUP BY 1"""))
+    SELECT CASE WHEN machine % 2 = 0 THEN 'alibaba_' ELSE 'google_' END || CAST(machine AS VARCHAR) AS node_id, count(*) AS n
+    FROM tele GROUP BY 1"""))
 def node_key_query(spark, sf):
-    key = node_key(F.lit(PERCENT_PROVIDER), F.col("machine").cast("string"))
+    provider = F.when(F.expr("machine % 2 = 0"), PERCENT_PROVIDER).otherwise(INSTANCE_PROVIDER)
+    key = node_key(provider, F.col("machine").cast("string"))
     return T.events(spark, sf).groupBy(key.alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
 
 

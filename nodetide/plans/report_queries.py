@@ -8,6 +8,7 @@ from nodetide.functions.expressions import clamp01
 from nodetide.operators import features as X
 from nodetide.operators import quality as Q
 from nodetide.operators import report as Rep
+from nodetide.operators.providers import few_rows
 from nodetide.plans import decision_queries as DQ
 from nodetide.plans import model_queries as MQ
 from nodetide.plans import telemetry as T
@@ -80,9 +81,8 @@ def results(spark, sf):
     rows = MQ.targets(spark, sf)
     fits = rows.filter("split = 'train'").groupBy("target", F.col("cloud_provider").alias("source")).agg(
         F.regr_slope("tgt_raw", "cur_raw").alias("slope"), F.regr_intercept("tgt_raw", "cur_raw").alias("icept")
-    ).filter(F.col("source").isin(*CFG.providers))
-    # One fit per target and known provider: at most four broadcast rows.
-    test = rows.filter("split = 'test'").join(F.broadcast(fits), "target")
+    )
+    test = rows.filter("split = 'test'").join(F.broadcast(few_rows(fits)), "target")
     both = test.select(
         F.concat_ws("->", "source", "cloud_provider").alias("experiment"), "target", "window_ts", "cur_raw", "tgt_raw", "ma6_raw",
         F.explode(F.create_map(
@@ -100,18 +100,18 @@ def forecast_series(spark, sf):
 
 OVERVIEW_SQL = sql(f"""
     SELECT cloud_provider, {', '.join(r6(f"max(CASE WHEN metric = '{m}' THEN predicted END)", m) for m in ('cpu', 'memory', 'taskArrival'))}
-    FROM series WHERE point = 92 GROUP BY 1""")
+    FROM series WHERE point = 91 GROUP BY 1""")
 
 
 @query("overview_next_hour", OVERVIEW_SQL)
 def overview_next_hour(spark, sf):
-    return settle_all(Rep.overview(series(spark, sf)))
+    return settle_all(Rep.overview(series(spark, sf), CFG.step))
 
 
 @query("dashboard_json", OVERVIEW_SQL)
 def dashboard_json(spark, sf):
     """The overview as one JSON document, written, and read back as rows."""
-    table = settle_all(Rep.overview(series(spark, sf)))
+    table = settle_all(Rep.overview(series(spark, sf), CFG.step))
     doc = W.json_document(
         table, window=F.lit("1h"), is_sample=F.lit(False), clusters=F.collect_list(F.struct(*table.columns))
     )

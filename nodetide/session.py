@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -50,6 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read: the one the cluster names, else one of our own for local tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         named = tempfile.mkdtemp(prefix="nodetide-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named

@@ -34,6 +34,12 @@ LIVE_SCHEMA = (
     "rmse_mem_persist double, " + PLACE)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in whatever store the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 @dataclass(frozen=True)
 class StreamJob:
     """One provider's scoring stream below `root`."""
@@ -57,12 +63,19 @@ class StreamJob:
             "block": F.floor(F.col("window_ts") / self.block_seconds), "w": F.col("window_ts")
         })
 
+    def table(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
+        """A whole state table; empty before the first write."""
+        path = self.path(name)
+        rows = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+        return rows.drop("block", "w")
+
     def between(self, spark: SparkSession, name: str, schema: str, lo: int, hi: int) -> DataFrame:
         """Rows of a state table from window lo to hi; only their blocks are listed, only their partitions read."""
-        blocks = ",".join(str(b) for b in range(lo // self.block_seconds, hi // self.block_seconds + 1))
-        rows = spark.read.schema(schema).option("basePath", self.path(name)).parquet(
-            f"{self.path(name)}/block={{{blocks}}}"
-        )
+        wanted = [f"{self.path(name)}/block={b}" for b in range(lo // self.block_seconds, hi // self.block_seconds + 1)]
+        there = [p for p in wanted if exists(spark, p)]
+        if not there:  # nothing was scored yet, or the windows begin a block
+            return spark.createDataFrame([], schema)
+        rows = spark.read.schema(schema).option("basePath", self.path(name)).parquet(*there)
         return rows.filter(F.col("w").between(lo, hi))
 
 
@@ -148,11 +161,11 @@ def start(job: StreamJob, feed: DataFrame, seconds: int | None = 5, name: str =
 
 
 def predictions_table(spark: SparkSession, job: StreamJob) -> DataFrame:
-    return spark.read.schema(PREDICTION_SCHEMA).parquet(job.path("predictions")).drop("block", "w")
+    return job.table(spark, "predictions", PREDICTION_SCHEMA)
 
 
 def live_error_table(spark: SparkSession, job: StreamJob) -> DataFrame:
-    return spark.read.schema(LIVE_SCHEMA).parquet(job.path("live_error")).drop("block", "w")
+    return job.table(spark, "live_error", LIVE_SCHEMA)
 
 
 def feature_log(spark: SparkSession, job: StreamJob) -> DataFrame:

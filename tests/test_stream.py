@@ -59,6 +59,20 @@ def table(df):
     return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*sorted(df.columns)).collect())
 
 
+@pytest.mark.parametrize("seeded", [True, False])
+def test_first_windows_without_predictions(spark, tmp_path, seeded):
+    """The first scored window begins a block, or no node has a history yet: nothing is due, nothing fails."""
+    first = job_at("x").block_seconds * 2
+    job = FS.StreamJob(str(tmp_path / "s"), "google", CFG, scorer(), first, feature_log_windows=100)
+    feed = rows(spark).withColumn("window_ts", F.col("window_ts") + first - FIRST)
+    if seeded:
+        FS.seed_history(job, feed.filter(F.col("window_ts") < first))
+    for i in range(3):
+        FS.process_batch(job, feed.filter(F.col("window_ts") == first + i * 300), i)
+    scored = FS.predictions_table(spark, job)
+    assert (scored.count() > 0) == seeded and (FS.live_error_table(spark, job).count() > 0) == seeded
+
+
 def test_batches_repeats_and_parity(spark, tmp_path):
     one = run_batches(spark, tmp_path / "one", [(i, [100 + i]) for i in range(4)])
     many = run_batches(spark, tmp_path / "many", [(0, [100, 101]), (0, [100, 101]), (1, [102, 103]), (1, [102, 103])])
