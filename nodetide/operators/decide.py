@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from nodetide import config as C
 from nodetide.config import TraceConfig
 from nodetide.functions.expressions import clamp01, settled
+from nodetide.session import written
 from nodetide.operators.grid import chunk_id
 
 ACTIONS = ("MAINTAIN", "SCALE_UP", "SCALE_DOWN")
@@ -186,33 +187,31 @@ def arrival_spike(rates: DataFrame) -> DataFrame:
     return rates.withColumn("arrival_spike", F.coalesce(enough & high, F.lit(False)))
 
 
-def run_length(rows: DataFrame, flag: str, name: str, cfg: TraceConfig, ts: str = "timestamp") -> DataFrame:
-    """Length of the run of rows up to this one where `flag` holds, per node.
+def run_lengths(rows: DataFrame, flags: dict[str, str], cfg: TraceConfig, ts: str = "timestamp") -> DataFrame:
+    """Length of the run of rows up to this one where a flag holds, per node; `flags` maps a flag to the column made.
 
     Runs are counted inside each chunk; a run that crosses a chunk border gets the open run of the chunks before it,
-    taken from one row per chunk.
+    taken from one row per chunk. All flags share the pass over the chunks and the table of carried runs.
     """
     series = Window.partitionBy("node_id", "chunk").orderBy(ts)
     so_far = series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    island = Window.partitionBy("node_id", "chunk", "_stops").orderBy(ts)
-    local = (
-        rows.withColumn("chunk", chunk_id(F.col(ts), cfg))
-        .withColumn("_stops", F.sum(F.expr(f"CAST({flag} AS INT) = 0").cast("int")).over(so_far))
-        .withColumn("_run", F.row_number().over(island) - (F.col("_stops") > 0).cast("int"))
-    )
+    local = rows.withColumn("chunk", chunk_id(F.col(ts), cfg)).withColumn("_at", F.row_number().over(series))
+    for f in flags:  # the last row without the flag, by its number in the chunk: 0 where there is none yet
+        local = local.withColumn(f"_stop_{f}", F.coalesce(F.max(F.when(~F.col(f), F.col("_at"))).over(so_far), F.lit(0)))
     order = Window.partitionBy("node_id").orderBy("chunk")
-    open_run = Window.partitionBy("node_id", "_group").orderBy("chunk")
-    carried = (
-        local.groupBy("node_id", "chunk")
-        .agg(F.max_by("_run", ts).alias("_tail"), (F.max("_stops") > 0).cast("int").alias("_cut"))
-        .withColumn("_group", F.sum("_cut").over(order))
-        .withColumn("_open", F.sum("_tail").over(open_run))
-        .select("node_id", "chunk", F.coalesce(F.lag("_open").over(order), F.lit(0)).alias("_carry"))
-    )
-    whole = F.col("_run") + F.when(F.col("_stops") > 0, 0).otherwise(F.col("_carry"))
-    return local.join(carried, ["node_id", "chunk"]).withColumn(name, whole.cast("long")).drop(
-        "chunk", "_stops", "_run", "_carry"
-    )
+    carried = local.groupBy("node_id", "chunk").agg(
+        F.max("_at").alias("_n"), *[F.max(f"_stop_{f}").alias(f"_end_{f}") for f in flags])
+    done = F.sum("_n").over(order)
+    for f in flags:  # rows before the chunk, less those up to the last stop
+        stop = F.max(F.when(F.col(f"_end_{f}") > 0, done - F.col("_n") + F.col(f"_end_{f}"))).over(order)
+        carried = carried.withColumn(f"_open_{f}", done - F.coalesce(stop, F.lit(0)))
+    carried = carried.select("node_id", "chunk", *[F.coalesce(F.lag(f"_open_{f}").over(order), F.lit(0)).alias(f"_carry_{f}") for f in flags])
+    whole = {
+        name: (F.col("_at") - F.col(f"_stop_{f}") + F.when(F.col(f"_stop_{f}") > 0, 0).otherwise(F.col(f"_carry_{f}"))).cast("long")
+        for f, name in flags.items()
+    }
+    return local.join(carried, ["node_id", "chunk"]).withColumns(whole).drop(
+        "chunk", "_at", *[f"_{k}_{f}" for f in flags for k in ("stop", "carry")])
 
 
 # ------------------------------------------------------------------------ records
@@ -242,7 +241,8 @@ def decide(predictions: DataFrame, cfg: TraceConfig, policy: Policy = Policy())
     """Records per node and window.
 
     predictions: cloud_provider, node_id, timestamp, observed_timestamp, pred_cpu_util, pred_mem_util, cur_cpu_util,
-    cur_mem_util, spike; at most one row per node and timestamp. The payload is shuffled once, by (node, chunk).
+    cur_mem_util, spike; at most one row per node and timestamp. The payload is shuffled once, by (node, chunk), and
+    written: the chunk tables and the replay read it from there, so the input is computed once.
     """
     lowest = min(1.0 - 2.0 * r for pair in (*C.MODEL_RMSE.values(), C.DEFAULT_RMSE) for r in pair)
     if policy.low >= lowest:
@@ -251,11 +251,12 @@ def decide(predictions: DataFrame, cfg: TraceConfig, policy: Policy = Policy())
         "code", F.expr(f"CASE WHEN is_crit THEN '{CRITICAL}' WHEN is_low THEN '{LOW}' ELSE '{CALM}' END")
     )
     payload = ["timestamp", *[c for c in flagged.columns if c not in ("node_id", "timestamp")]]
-    packed = (
+    packed = written(
         flagged.withColumn("chunk", chunk_id(F.col("timestamp"), cfg))
         .groupBy("node_id", "chunk")
         .agg(F.sort_array(F.collect_list(F.struct(*payload))).alias("rows"))
-        .withColumn("codes", F.expr("array_join(transform(rows, r -> r.code), '')"))
+        .withColumn("codes", F.expr("array_join(transform(rows, r -> r.code), '')")),
+        "decision-chunks",
     )
     chunk_tables = packed.select(
         "node_id", "chunk", F.expr("transform(rows, r -> r.timestamp)").alias("stamps"),

@@ -38,18 +38,18 @@ def cluster_context(metrics: DataFrame) -> DataFrame:
 def context_delta(context: DataFrame, cfg: TraceConfig) -> DataFrame:
     """Change of the cluster mean since the previous window, 0 where that window is missing.
 
-    Only the window exactly one step earlier counts, so each row is also sent one step ahead and the two meet by
-    key. A window function would put a provider's whole trace in one task.
+    Only the window exactly one step earlier counts, so each row of the context is laid out twice, for its own window
+    and for the next one, and the two meet by key: the metrics are aggregated once, and no window function puts a
+    provider's whole trace in one task.
     """
     means = [f"cl_{m}_mean" for m in METRICS]
-    own = context.withColumn("own", F.lit(True))
-    shifted = context.select(
-        "cloud_provider", (F.col("window_ts") + cfg.step).alias("window_ts"),
-        *[F.col(c).alias(f"prev_{c}") for c in means],
-    )
     kept = [c for c in context.columns if c not in ("cloud_provider", "window_ts")]
+    here = F.struct("window_ts", F.lit(True).alias("own"), *kept, *[F.lit(None).cast("double").alias(f"prev_{c}") for c in means])
+    ahead = F.struct(
+        (F.col("window_ts") + cfg.step).alias("window_ts"), F.lit(False).alias("own"),
+        *[F.lit(None).cast("double").alias(c) for c in kept], *[F.col(c).alias(f"prev_{c}") for c in means])
     met = (
-        own.unionByName(shifted, allowMissingColumns=True)
+        context.select("cloud_provider", F.inline(F.array(here, ahead)))
         .groupBy("cloud_provider", "window_ts")
         .agg(
             F.max("own").alias("own"),

@@ -149,8 +149,7 @@ def _run_sql(flag: str) -> str:
           FROM levels WINDOW w AS (PARTITION BY node_id ORDER BY k))"""))
 def streaks(spark, sf):
     rows = D.alert_levels(predictions(spark, sf)).select("node_id", "timestamp", "is_crit", "is_low")
-    high = D.run_length(rows, "is_crit", "hi", CFG)
-    return D.run_length(high, "is_low", "lo", CFG).select("node_id", "timestamp", "hi", "lo")
+    return D.run_lengths(rows, {"is_crit": "hi", "is_low": "lo"}, CFG).select("node_id", "timestamp", "hi", "lo")
 
 
 @query("scaling_decision", sql(f"SELECT {', '.join(RECORD)} FROM records"))
@@ -202,17 +201,17 @@ def recommendation_summary(spark, sf):
     return D.summary(records(spark, sf))
 
 
-@query("recommend_batch", sql(SUMMARY_SQL))
+@query("recommend_batch", sql(f"SELECT {', '.join(RECORD)} FROM records"))
 def recommend_batch(spark, sf):
-    """Nested batches (one row per provider and window) through explode, decision and summary."""
+    """Nested batches (rows of a provider and window, some thousand nodes each) through explode and decision."""
     flat = predictions(spark, sf)
     item = F.struct("node_id", "pred_cpu_util", "pred_mem_util", "cur_cpu_util", "cur_mem_util", "spike")
-    # Each window's nodes are spread over 64 batch rows by hash; a larger cluster takes a larger number.
-    batches = flat.withColumn("part", F.pmod(F.xxhash64("node_id"), F.lit(64))).groupBy(
+    nodes = T.metrics(spark, sf).agg(F.approx_count_distinct("node_id")).first()[0]
+    batches = flat.withColumn("part", F.pmod(F.xxhash64("node_id"), F.lit(nodes // 1000 + 1))).groupBy(
         "cloud_provider", "timestamp", "observed_timestamp", "part"
     ).agg(F.collect_list(item).alias("predictions"))
     exploded = batches.select("cloud_provider", "timestamp", "observed_timestamp", F.inline("predictions"))
-    return D.summary(D.decide(exploded, CFG))
+    return D.decide(exploded, CFG).select(*RECORD)
 
 
 @query("alert_feed", sql("""

@@ -23,7 +23,7 @@ from nodetide.session import scratch_path
 
 CFG = T.CHECK
 SMOKE = Tr.TrainConfig(
-    train_frac=1.0, tune_frac=1.0, val_frac=1.0, max_iter=3, min_refit_trees=3, min_inst=20, quick=True
+    train_frac=1.0, tune_frac=1.0, val_frac=1.0, max_iter=3, min_refit_trees=3, min_inst=20
 )
 _RUNS: dict[tuple, object] = {}
 

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "nodetide", master: str | None = None, **conf: str) -> SparkSession:
@@ -64,6 +64,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read back, so that several readers share one computation."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def enable_checkpoints(spark: SparkSession) -> None:
     """Let `checkpoint()` and tree training write to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -79,7 +79,7 @@ def test_run_length(spark, chunk):
     flags = {f"n{i}": (rng.random(90) < p).tolist() for i, p in enumerate((.3, .8, 1.0))}
     rows = [(n, t * 300, bool(f)) for n, fs in flags.items() for t, f in enumerate(fs)]
     df = spark.createDataFrame(rows, "node_id string, timestamp long, f boolean")
-    got = {(r.node_id, r.timestamp): r.run for r in D.run_length(df, "f", "run", TraceConfig(chunk_steps=chunk)).collect()}
+    got = {(r.node_id, r.timestamp): r.run for r in D.run_lengths(df, {"f": "run"}, TraceConfig(chunk_steps=chunk)).collect()}
     for n, fs in flags.items():
         run = 0
         for t, f in enumerate(fs):

@@ -9,7 +9,7 @@ from nodetide.operators import modeling as M
 from nodetide.operators import quality as Q
 from nodetide.operators import scaling as S
 
-TINY = Tr.TrainConfig(train_frac=1.0, tune_frac=1.0, val_frac=1.0, max_iter=2, min_refit_trees=2, min_inst=1, quick=True)
+TINY = Tr.TrainConfig(train_frac=1.0, tune_frac=1.0, val_frac=1.0, max_iter=2, min_refit_trees=2, min_inst=1)
 
 
 @pytest.fixture(scope="module")
