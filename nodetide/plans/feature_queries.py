@@ -221,6 +221,16 @@ def feature_table(spark, sf):
     return settle_all(features(spark, sf))
 
 
+DAY = CFG.with_(use_day=True, chunk_steps=480)
+
+
+@query("feature_table_day", with_blocks(f"""
+    SELECT cloud_provider, node_id, window_ts, split, {sql_columns(O.FEATURE_NAMES + O.DAY_NAMES + O.LABEL_NAMES)} FROM day_features"""))
+def feature_table_day(spark, sf):
+    """All 80 features, those of a whole day included."""
+    return settle_all(X.feature_table(T.metrics(spark, sf), T.severities(spark, sf), DAY))
+
+
 @query("feature_columns", with_blocks(f"""
     SELECT node_id, window_ts, {sql_columns([n for n in O.FEATURE_NAMES if not n.startswith('n_rec')])} FROM features"""))
 def feature_columns(spark, sf):

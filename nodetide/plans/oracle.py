@@ -175,6 +175,15 @@ BLOCKS["features"] = f"""
         SELECT * FROM (SELECT o.*, {SPLIT_CASE} AS split FROM observed_rows o JOIN bounds USING (cloud_provider))
         WHERE split IS NOT NULL"""
 
+# The features of a whole day: 288 steps back, so rows need that many before them.
+DAY_SQL = [f"lag({m}, 288) OVER {_ROW} AS {m}_lag288" for m in METRICS] + [f"avg({m}) OVER {_frame(288)} AS {m}_mean288" for m in METRICS]
+DAY_NAMES = [e.rsplit(" AS ", 1)[1] for e in DAY_SQL] + [f"{m}_{s}" for m in METRICS for s in ("dev288", "dday")]
+BLOCKS["day_windows"] = f"SELECT node_id, window_ts, {', '.join(DAY_SQL)} FROM filled"
+BLOCKS["day_features"] = """
+        SELECT f.*, d.* EXCLUDE (node_id, window_ts), cpu - cpu_mean288 AS cpu_dev288, cpu - cpu_lag288 AS cpu_dday,
+               mem - mem_mean288 AS mem_dev288, mem - mem_lag288 AS mem_dday
+        FROM features f JOIN day_windows d ON d.node_id = f.node_id AND d.window_ts = f.window_ts WHERE rn > 288"""
+
 
 def with_blocks(body: str, **extra: str) -> str:
     """Prefix `body` with the blocks it uses, in the order they depend on each other."""
