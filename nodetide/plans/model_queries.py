@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from nodetide.config import INSTANCE_PROVIDER, MODELING_COLUMNS, MODELING_DERIVED, PERCENT_PROVIDER
@@ -508,38 +510,55 @@ BLOCKS["feed"] = """
 BLOCKS["start"] = """
         SELECT min(window_ts) AS t0 FROM unified JOIN bounds USING (cloud_provider)
         WHERE cloud_provider = 'google' AND window_ts >= lo + (hi - lo) * 0.85"""
-_FEED = f"node_id, window_ts, {columns('cpu_usage_norm', 'mem_usage_norm')}, n_records, sev"
+BLOCKS["feeds"] = """
+        SELECT split_part(node_id, '_', 1) AS cloud_provider, node_id, window_ts, cpu_usage_norm, mem_usage_norm, n_records,
+               CAST(coalesce(sev, 0) AS INTEGER) AS sev
+        FROM (SELECT node_id, window_ts, cpu_usage_norm, mem_usage_norm, n_records FROM unified) FULL JOIN sev USING (node_id, window_ts)"""
+BLOCKS["starts"] = """
+        SELECT cloud_provider, min(window_ts) AS t0 FROM unified JOIN bounds USING (cloud_provider)
+        WHERE window_ts >= lo + (hi - lo) * 0.85 GROUP BY 1"""
+_FEED = f"cloud_provider, node_id, window_ts, {columns('cpu_usage_norm', 'mem_usage_norm')}, n_records, sev"
+
+
+def each_feed(spark, sf, make):
+    """`make` of every provider's feed and metrics, with the provider as a column."""
+    parts = [make(*feed(spark, sf, p)).withColumn("cloud_provider", F.lit(p)) for p in CFG.providers]
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
-@query("metrics_logs_full_outer", sql(f"SELECT {_FEED} FROM feed"))
+def cut(rows, metrics):
+    return Feed.seed_and_test(rows, Feed.test_start(metrics), CFG)
+
+
+@query("metrics_logs_full_outer", sql(f"SELECT {_FEED} FROM feeds"))
 def metrics_logs_full_outer(spark, sf):
-    return settle_all(feed(spark, sf)[0])
+    return settle_all(each_feed(spark, sf, lambda rows, metrics: rows))
 
 
 @query("seed_and_test_cut", sql(f"""
-    SELECT node_id, window_ts, CASE WHEN window_ts >= t0 THEN 'test' ELSE 'seed' END AS part
-    FROM feed, start WHERE window_ts >= t0 - 74 * {STEP}"""))
+    SELECT cloud_provider, node_id, window_ts, CASE WHEN window_ts >= t0 THEN 'test' ELSE 'seed' END AS part
+    FROM feeds JOIN starts USING (cloud_provider) WHERE window_ts >= t0 - 74 * {STEP}"""))
 def seed_and_test_cut(spark, sf):
-    rows, metrics = feed(spark, sf)
-    return Feed.seed_and_test(rows, Feed.test_start(metrics), CFG).select("node_id", "window_ts", "part")
+    return each_feed(spark, sf, cut).select("cloud_provider", "node_id", "window_ts", "part")
 
 
 @query("first_n_windows", sql("""
-    SELECT node_id, window_ts FROM feed, start WHERE window_ts >= t0 AND window_ts IN (
-        SELECT DISTINCT window_ts FROM feed, start WHERE window_ts >= t0 ORDER BY 1 LIMIT 20)"""))
+    SELECT cloud_provider, node_id, window_ts FROM feeds JOIN starts USING (cloud_provider) WHERE window_ts >= t0
+    QUALIFY dense_rank() OVER (PARTITION BY cloud_provider ORDER BY window_ts) <= 20"""))
 def first_n_windows(spark, sf):
-    rows, metrics = feed(spark, sf)
-    test = Feed.seed_and_test(rows, Feed.test_start(metrics), CFG).filter("part = 'test'")
-    return Feed.first_windows(test, 20).select("node_id", "window_ts")
+    return each_feed(spark, sf, lambda rows, metrics: Feed.first_windows(cut(rows, metrics).filter("part = 'test'"), 20)).select(
+        "cloud_provider", "node_id", "window_ts")
 
 
-@query("window_feed_write", sql(f"SELECT {_FEED} FROM feed, start WHERE window_ts >= t0"))
+@query("window_feed_write", sql(f"SELECT {_FEED} FROM feeds JOIN starts USING (cloud_provider) WHERE window_ts >= t0"))
 def window_feed_write(spark, sf):
-    rows, metrics = feed(spark, sf)
-    test = Feed.seed_and_test(rows, Feed.test_start(metrics), CFG).filter("part = 'test'").drop("part")
-    path = scratch_path(spark, "feed")
-    W.write_window_feed(test, path)
-    return settle_all(spark.read.schema(R.FEED_SCHEMA).option("recursiveFileLookup", "true").parquet(path))
+    """Every provider's test windows, a folder each, written and read back."""
+    def through(rows, metrics):
+        path = scratch_path(spark, "feed")
+        W.write_window_feed(cut(rows, metrics).filter("part = 'test'").drop("part"), path)
+        return spark.read.schema(R.FEED_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+
+    return settle_all(each_feed(spark, sf, through))
 
 
 @query("write_results_csv", sql(skill_sql("scored", "per_machine")))
