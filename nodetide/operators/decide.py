@@ -285,10 +285,10 @@ def decide(predictions: DataFrame, cfg: TraceConfig, policy: Policy = Policy())
     flat = rows.selectExpr(
         "node_id", "rows.*", "acts AS act", "streaks AS streak", "cools AS cooling", "last_ts", "last_kind", "prev"
     )
-    return _records(flat, policy)
+    return records_of(flat, policy)
 
 
-def _records(rows: DataFrame, policy: Policy) -> DataFrame:
+def records_of(rows: DataFrame, policy: Policy) -> DataFrame:
     """Final columns of a record from the machine's output."""
     def pct(metric: str) -> Column:
         return F.expr(f"""CASE WHEN act = 1 AND {metric}_is_crit THEN {C.UP_PCT} * (CASE WHEN spike THEN 2 ELSE 1 END)

@@ -142,8 +142,7 @@ def stream_running_error(spark, sf):
     return Q.running_error(FS.live_error_table(spark, stream_job(spark, sf)))
 
 
-STREAM_RECORD = ["cloud_provider", "node_id", "timestamp", "action", "cpu_change_pct", "mem_change_pct", "alert_level",
-                 "last_action", "last_action_timestamp"]
+STREAM_RECORD = DQ.RECORD
 
 
 @query("stream_decisions", with_blocks(f"SELECT {', '.join(STREAM_RECORD)} FROM records", **DQ.BLOCKS))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,34 +17,37 @@ from nodetide.sources.writers import replace_partitions
 PREDICTION_FEED = (
     "cloud_provider string, node_id string, timestamp bigint, observed_timestamp bigint, pred_cpu_util double, "
     "pred_mem_util double, cur_cpu_util double, cur_mem_util double, spike boolean")
-STATE = "hi int, lo int, wait int, last_action string, last_ts bigint"
-OUTPUT = ("cloud_provider string, node_id string, timestamp bigint, action string, cpu_change_pct int, "
-          "mem_change_pct int, alert_level string, last_action string, last_action_timestamp bigint")
+#: Place in the policy's table of states, the last action and the last window of a node.
+STATE = "at int, last_kind int, last_ts bigint, prev_timestamp bigint, prev_cpu double, prev_mem double"
+MACHINE = "act int, streak int, cooling boolean, last_kind int, last_ts bigint, prev_timestamp bigint, prev_cpu double, prev_mem double"
 
 
-def stepper(policy: D.Policy):
-    """Per node: the new windows in time order through the state machine."""
+def stepper(policy: D.Policy, columns: list[str]):
+    """Per node: the new windows in time order through the state machine; its output stands beside their columns."""
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hi, lo, wait, last, last_ts = state.get if state.exists else (0, 0, 0, None, None)
+        nxt, action, streak, cooling = D.tables(policy)
+        at, kind, when, *before = state.get if state.exists else (0, None, None, None, None, None)
         # A group is one node's windows of one trigger, which the trigger's file limit bounds.
-        rows = pd.concat(list(frames)).sort_values("timestamp")
-        out = []
-        for r in rows.itertuples(index=False):
-            (hi, lo, wait), act, _ = D.advance((hi, lo, wait), int(r.code), policy)
-            if act:
-                last, last_ts = D.ACTIONS[act], int(r.timestamp)
-            factor = 2 if r.spike else 1
-            cpu = mem = 0
-            if act == 1:
-                cpu, mem = (D.C.UP_PCT * factor if flag else 0 for flag in (r.cpu_is_crit, r.mem_is_crit))
-            elif act == 2:
-                cpu = mem = -D.C.DOWN_PCT
-            out.append((r.cloud_provider, key[0], int(r.timestamp), D.ACTIONS[act], cpu, mem, r.alert_level, last, last_ts))
-        state.update((hi, lo, wait, last, last_ts))
-        frame = pd.DataFrame(out, columns=[f.split()[0] for f in OUTPUT.split(", ")])
-        frame["last_action_timestamp"] = frame["last_action_timestamp"].astype("Int64")
-        yield frame
+        rows = pd.concat(list(frames)).sort_values("timestamp", ignore_index=True)
+        codes, n = rows["code"].to_numpy(np.int64), len(rows)
+        path = np.empty(n + 1, np.int64)
+        path[0] = at
+        for t in range(n):  # each state depends on the one before
+            path[t + 1] = nxt[path[t], codes[t]]
+        acts = action[path[:-1], codes]
+        spot = np.maximum.accumulate(np.where(acts > 0, np.arange(n), -1))
+        stamps = rows["timestamp"].to_numpy(np.int64)
+        out = rows[columns].copy()
+        out["act"], out["streak"], out["cooling"] = acts, streak[path[:-1], codes], cooling[path[:-1]]
+        out["last_kind"] = pd.array([int(acts[s]) if s >= 0 else kind for s in spot], "Int64")
+        out["last_ts"] = pd.array([int(stamps[s]) if s >= 0 else when for s in spot], "Int64")
+        for name, source, first in zip(("prev_timestamp", "prev_cpu", "prev_mem"), ("timestamp", "cpu", "mem"), before):
+            earlier = [first, *rows[source].tolist()[:-1]]
+            out[name] = pd.array(earlier, "Int64") if source == "timestamp" else pd.array(earlier, "Float64")
+        known = [None if pd.isna(x) else int(x) for x in (out["last_kind"].iloc[-1], out["last_ts"].iloc[-1])]
+        state.update((int(path[-1]), *known, int(stamps[-1]), float(rows["cpu"].iloc[-1]), float(rows["mem"].iloc[-1])))
+        yield out
 
     return run
 
@@ -56,14 +60,15 @@ def read_predictions(spark: SparkSession, path: str, files_per_trigger: int = 1)
 
 
 def decisions(predictions: DataFrame, policy: D.Policy = D.Policy()) -> DataFrame:
-    """Streaming decisions; flags and thresholds are plain columns, only the machine itself runs in Python."""
-    flagged = D.alert_levels(predictions, policy).selectExpr(
-        "cloud_provider", "node_id", "timestamp", "cpu_is_crit", "mem_is_crit", "spike", "alert_level",
-        f"CASE WHEN is_crit THEN {D.CRITICAL} WHEN is_low THEN {D.LOW} ELSE {D.CALM} END AS code",
-    )
-    return flagged.groupBy("node_id").applyInPandasWithState(
-        stepper(policy), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    """Streaming records with the columns of the batch; all but the machine itself are plain columns."""
+    flagged = D.alert_levels(predictions, policy).withColumn(
+        "code", F.expr(f"CASE WHEN is_crit THEN {D.CRITICAL} WHEN is_low THEN {D.LOW} ELSE {D.CALM} END"))
+    columns = [c for c in flagged.columns if c != "code"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flagged.select(*columns).schema.fields)
+    stepped = flagged.groupBy("node_id").applyInPandasWithState(
+        stepper(policy, columns), f"{schema}, {MACHINE}", STATE, "append", GroupStateTimeout.NoTimeout)
+    prev = F.struct(F.col("prev_timestamp").alias("timestamp"), F.col("prev_cpu").alias("cpu"), F.col("prev_mem").alias("mem"))
+    return D.records_of(stepped.withColumn("prev", prev), policy)
 
 
 def start(decided: DataFrame, out: str, checkpoint: str, seconds: int | None = 5) -> StreamingQuery:
