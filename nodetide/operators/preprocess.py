@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,63 +14,51 @@ UNIFIED_COLUMNS = ["cloud_provider", "node_id", "machine_id", "window_ts",
                    "cpu_usage_norm", "mem_usage_norm", "n_records"]
 
 
-# ------------------------------------------------------------ typed projections
-def typed_percent(raw: DataFrame) -> DataFrame:
-    """Strings to numbers; text in a numeric field becomes null instead of failing the job."""
-    return raw.select(
-        F.col("machine_id").cast("string").alias("machine_id"),
-        F.expr("try_cast(time_stamp AS BIGINT)").alias("ts"),
-        F.expr("try_cast(cpu_util_percent AS DOUBLE)").alias("cpu"),
-        F.expr("try_cast(mem_util_percent AS DOUBLE)").alias("mem"),
-    )
+# -------------------------------------------------------------------- sources
+@dataclass(frozen=True)
+class Source:
+    """How a raw trace becomes numbers: output column -> (field, type), the range its values must lie in, and divisors."""
 
+    columns: dict[str, tuple[str, str]]
+    valid: dict[str, str]
+    units: dict[str, int] = field(default_factory=dict)
 
-def typed_instances(raw: DataFrame) -> DataFrame:
-    """Nested usage to flat columns, microseconds to seconds."""
-    return raw.select(
-        F.col("machine_id").cast("string").alias("machine_id"),
-        (F.expr("try_cast(start_time AS BIGINT)") / F.lit(1_000_000)).alias("ts"),
-        F.expr("try_cast(average_usage.cpus AS DOUBLE)").alias("cpu"),
-        F.expr("try_cast(average_usage.memory AS DOUBLE)").alias("mem"),
-    )
+    def typed(self, raw: DataFrame) -> DataFrame:
+        """The machine and the typed columns; text in a numeric field becomes null instead of failing the job."""
+        made = ["CAST(machine_id AS STRING) AS machine_id"]
+        for name, (source, kind) in self.columns.items():
+            unit = f" / {self.units[name]}" if name in self.units else ""
+            made.append(f"try_cast({source} AS {kind}){unit} AS {name}")
+        return raw.selectExpr(*made)
 
+    def in_range(self, rows: DataFrame) -> DataFrame:
+        """Drops readings outside the valid range, such as the markers -1 and 101."""
+        for column, rule in self.valid.items():
+            rows = rows.filter(f"{column} {rule}")
+        return rows
 
-def typed_preaggregated(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        F.col("machine_id").cast("string").alias("machine_id"),
-        F.expr("try_cast(window_ts AS BIGINT)").alias("window_ts"),
-        F.expr("try_cast(cpu_sum AS DOUBLE)").alias("cpu_sum"),
-        F.expr("try_cast(mem_sum AS DOUBLE)").alias("mem_sum"),
-        F.expr("try_cast(n_records AS BIGINT)").alias("n_records"),
-    )
+    def clean(self, raw: DataFrame) -> DataFrame:
+        """Typed, complete and valid rows."""
+        return self.in_range(drop_incomplete(self.typed(raw)))
 
 
-def typed_capacity(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        F.col("machine_id").cast("string").alias("machine_id"),
-        F.expr("try_cast(cap_cpu AS DOUBLE)").alias("cap_cpu"),
-        F.expr("try_cast(cap_mem AS DOUBLE)").alias("cap_mem"),
-    )
+PERCENT = Source(
+    {"ts": ("time_stamp", "BIGINT"), "cpu": ("cpu_util_percent", "DOUBLE"), "mem": ("mem_util_percent", "DOUBLE")},
+    {"cpu": "BETWEEN 0 AND 100", "mem": "BETWEEN 0 AND 100"})
+INSTANCES = Source(
+    {"ts": ("start_time", "BIGINT"), "cpu": ("average_usage.cpus", "DOUBLE"), "mem": ("average_usage.memory", "DOUBLE")},
+    {"cpu": ">= 0", "mem": ">= 0"}, {"ts": 1_000_000})  # microseconds
+PREAGGREGATED = Source(
+    {"window_ts": ("window_ts", "BIGINT"), "cpu_sum": ("cpu_sum", "DOUBLE"), "mem_sum": ("mem_sum", "DOUBLE"), "n_records": ("n_records", "BIGINT")},
+    {"cpu_sum": ">= 0", "mem_sum": ">= 0"})
+CAPACITY = Source({"cap_cpu": ("cap_cpu", "DOUBLE"), "cap_mem": ("cap_mem", "DOUBLE")}, {"cap_cpu": "> 0", "cap_mem": "> 0"})
+MACHINE_EVENTS = Source({"cap_cpu": ("capacity.cpus", "DOUBLE"), "cap_mem": ("capacity.memory", "DOUBLE")}, CAPACITY.valid)
 
 
-# --------------------------------------------------------------------- filters
 def drop_incomplete(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.na.drop(subset=columns)
 
 
-def valid_percent(df: DataFrame) -> DataFrame:
-    """Drops the out-of-range markers (such as -1 and 101)."""
-    return df.filter(F.col("cpu").between(0, 100) & F.col("mem").between(0, 100))
-
-
-def valid_sums(df: DataFrame, cpu: str = "cpu", mem: str = "mem") -> DataFrame:
-    return df.filter((F.col(cpu) >= 0) & (F.col(mem) >= 0))
-
-
-def valid_capacity(df: DataFrame) -> DataFrame:
-    return df.filter((F.col("cap_cpu") > 0) & (F.col("cap_mem") > 0))
-
-
 # ---------------------------------------------------------------- aggregations
 def rollup_average(samples: DataFrame, step: int) -> DataFrame:
     """Percent samples to mean fractions per machine and window; partial sums run before the shuffle."""
@@ -94,23 +84,19 @@ def rollup_sum(samples: DataFrame, step: int) -> DataFrame:
     )
 
 
+def largest_capacity(capacities: DataFrame) -> DataFrame:
+    """Largest capacity of each kind seen per machine; machines without a positive one of both are left out."""
+    most = capacities.groupBy("machine_id").agg(*[F.max(c).alias(c) for c in CAPACITY.columns])
+    return CAPACITY.in_range(most)
+
+
 def capacity_from_events(events: DataFrame) -> DataFrame:
-    """Largest capacity seen per machine, from nested machine events."""
-    return valid_capacity(
-        events.filter(F.col("capacity").isNotNull())
-        .groupBy(F.col("machine_id").cast("string").alias("machine_id"))
-        .agg(
-            F.max("capacity.cpus").cast("double").alias("cap_cpu"),
-            F.max("capacity.memory").cast("double").alias("cap_mem"),
-        )
-    )
+    """Capacity per machine, from nested machine events; events without one are nulls, which a maximum ignores."""
+    return largest_capacity(MACHINE_EVENTS.typed(events))
 
 
 def capacity_from_table(raw: DataFrame) -> DataFrame:
-    rows = valid_capacity(drop_incomplete(typed_capacity(raw)))
-    return rows.groupBy("machine_id").agg(
-        F.max("cap_cpu").alias("cap_cpu"), F.max("cap_mem").alias("cap_mem")
-    )
+    return largest_capacity(CAPACITY.clean(raw))
 
 
 def with_capacity(usage: DataFrame, capacity: DataFrame) -> DataFrame:
@@ -135,17 +121,17 @@ def normalised(usage: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- whole stage
 def percent_usage(raw: DataFrame, cfg: TraceConfig) -> DataFrame:
-    samples = valid_percent(drop_incomplete(typed_percent(raw)))
+    samples = PERCENT.clean(raw)
     return rollup_average(samples, cfg.step)
 
 
 def instance_usage(raw: DataFrame, capacity: DataFrame, cfg: TraceConfig) -> DataFrame:
-    samples = valid_sums(drop_incomplete(typed_instances(raw)))
+    samples = INSTANCES.clean(raw)
     return normalised(with_capacity(rollup_sum(samples, cfg.step), capacity))
 
 
 def preaggregated_usage(raw: DataFrame, capacity: DataFrame) -> DataFrame:
-    rows = valid_sums(drop_incomplete(typed_preaggregated(raw)), "cpu_sum", "mem_sum")
+    rows = PREAGGREGATED.clean(raw)
     return normalised(with_capacity(rows, capacity))
 
 

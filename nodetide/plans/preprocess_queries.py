@@ -38,7 +38,7 @@ def settle_all(df):
 def scan_percent_usage(spark, sf):
     path = scratch_path(spark, "usage-csv")
     T.percent_raw(spark, sf).write.csv(path)
-    return P.typed_percent(R.read_percent_usage(spark, path))
+    return P.PERCENT.typed(R.read_percent_usage(spark, path))
 
 
 @query("scan_percent_usage_header", TYPED_SQL)
@@ -47,16 +47,16 @@ def scan_percent_usage_header(spark, sf):
     T.percent_raw(spark, sf).select(
         "mem_util_percent", "time_stamp", "machine_id", "cpu_util_percent"
     ).write.option("header", "true").csv(path)
-    return P.typed_percent(R.read_percent_usage(spark, path))
+    return P.PERCENT.typed(R.read_percent_usage(spark, path))
 
 
 @query("scan_preagg_usage", with_blocks(f"""
     SELECT machine_id, window_ts, {r6('cpu_sum', 'cpu_sum')}, {r6('mem_sum', 'mem_sum')}, n_records FROM usage_b"""))
 def scan_preagg_usage(spark, sf):
     path = scratch_path(spark, "preagg-csv")
-    rolled = P.rollup_sum(P.typed_instances(T.instance_raw(spark, sf)), CFG.step)
+    rolled = P.rollup_sum(P.INSTANCES.typed(T.instance_raw(spark, sf)), CFG.step)
     rolled.write.option("header", "true").option("compression", "gzip").csv(path)
-    return settle_all(P.typed_preaggregated(R.read_headed_csv(spark, f"{path}/*.csv*", R.PREAGG_SCHEMA)))
+    return settle_all(P.PREAGGREGATED.typed(R.read_headed_csv(spark, f"{path}/*.csv*", R.PREAGG_SCHEMA)))
 
 
 @query("preagg_unified", with_blocks(f"""
@@ -64,7 +64,7 @@ def scan_preagg_usage(spark, sf):
            {r6('mem_usage_norm', 'mem_usage_norm')}, n_records FROM unified WHERE cloud_provider = 'google'"""))
 def preagg_unified(spark, sf):
     usage, capacity = scratch_path(spark, "preagg-usage"), scratch_path(spark, "preagg-capacity")
-    P.rollup_sum(P.typed_instances(T.instance_raw(spark, sf)), CFG.step).write.option("header", "true").csv(usage)
+    P.rollup_sum(P.INSTANCES.typed(T.instance_raw(spark, sf)), CFG.step).write.option("header", "true").csv(usage)
     T.machine_events(spark, sf).select(
         "machine_id", F.col("capacity.cpus").alias("cap_cpu"), F.col("capacity.memory").alias("cap_mem")
     ).write.option("header", "true").option("compression", "gzip").csv(capacity)
@@ -80,7 +80,7 @@ def preagg_unified(spark, sf):
 def scan_nested_json(spark, sf):
     path = scratch_path(spark, "usage-json")
     T.instance_raw(spark, sf).write.option("compression", "gzip").json(path)
-    return settle_all(P.typed_instances(R.read_json_lines(spark, f"{path}/*.json*", R.INSTANCE_SCHEMA)))
+    return settle_all(P.INSTANCES.typed(R.read_json_lines(spark, f"{path}/*.json*", R.INSTANCE_SCHEMA)))
 
 
 @query("scan_log_text", with_blocks("SELECT log_line AS value FROM lines"))
@@ -124,7 +124,7 @@ def write_log_text(spark, sf):
 # ------------------------------------------------- projections, filters, rollups
 @query("typed_projection", TYPED_SQL)
 def typed_projection(spark, sf):
-    return P.typed_percent(T.percent_raw(spark, sf))
+    return P.PERCENT.typed(T.percent_raw(spark, sf))
 
 
 @query("drop_incomplete", with_blocks("""
@@ -139,14 +139,14 @@ def drop_incomplete(spark, sf):
         blank.alias("cpu_util_percent"),
         F.col("k").cast("string").alias("mem_util_percent"),
     )
-    return P.drop_incomplete(P.typed_percent(raw))
+    return P.drop_incomplete(P.PERCENT.typed(raw))
 
 
 @query("sentinel_filter", with_blocks("""
     SELECT CAST(machine AS VARCHAR) AS machine_id, s AS ts, value AS cpu, k AS mem
     FROM tele WHERE machine % 2 = 0 AND value BETWEEN 0 AND 100 AND k BETWEEN 0 AND 100"""))
 def sentinel_filter(spark, sf):
-    return P.valid_percent(P.typed_percent(T.percent_raw(spark, sf)))
+    return P.PERCENT.in_range(P.PERCENT.typed(T.percent_raw(spark, sf)))
 
 
 @query("unit_normalise", with_blocks(f"""
@@ -154,7 +154,7 @@ def sentinel_filter(spark, sf):
            {r6('least(1.0, mem_sum / cap_mem)', 'mem_usage_norm')}, n_records
     FROM usage_b JOIN capacity USING (machine_id)"""))
 def unit_normalise(spark, sf):
-    rolled = P.rollup_sum(P.typed_instances(T.instance_raw(spark, sf)), CFG.step)
+    rolled = P.rollup_sum(P.INSTANCES.typed(T.instance_raw(spark, sf)), CFG.step)
     capacity = P.capacity_from_events(T.machine_events(spark, sf))
     return settle_all(P.normalised(P.with_capacity(rolled, capacity)))
 
@@ -194,7 +194,7 @@ def window_rollup_avg(spark, sf):
 @query("window_rollup_sum", with_blocks(f"""
     SELECT machine_id, window_ts, {r6('cpu_sum', 'cpu_sum')}, {r6('mem_sum', 'mem_sum')}, n_records FROM usage_b"""))
 def window_rollup_sum(spark, sf):
-    return settle_all(P.rollup_sum(P.typed_instances(T.instance_raw(spark, sf)), CFG.step))
+    return settle_all(P.rollup_sum(P.INSTANCES.typed(T.instance_raw(spark, sf)), CFG.step))
 
 
 @query("capacity_max", with_blocks("SELECT * FROM capacity"))
@@ -206,7 +206,7 @@ def capacity_max(spark, sf):
     SELECT machine_id, window_ts, {r6('cpu_sum', 'cpu_sum')}, {r6('mem_sum', 'mem_sum')}, n_records, cap_cpu, cap_mem
     FROM usage_b JOIN capacity USING (machine_id)"""))
 def capacity_join(spark, sf):
-    rolled = P.rollup_sum(P.typed_instances(T.instance_raw(spark, sf)), CFG.step)
+    rolled = P.rollup_sum(P.INSTANCES.typed(T.instance_raw(spark, sf)), CFG.step)
     joined = P.with_capacity(rolled, P.capacity_from_events(T.machine_events(spark, sf)))
     return settle(joined, "cpu_sum", "mem_sum")
 
