@@ -14,7 +14,7 @@ from nodetide.config import (
 from nodetide.functions.expressions import node_key, stable_uniform
 from nodetide.operators.providers import per_provider
 
-QUANTILE_ACCURACY = 100_000
+QUANTILE_ACCURACY = 10_000
 
 
 def provider_quantiles(df: DataFrame, columns: dict[str, str], probs: dict[str, float],

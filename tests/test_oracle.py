@@ -11,7 +11,7 @@ SF = os.environ.get("NODETIDE_SF", "/root/testdata/sf0.001")
 SAMPLE = [
     "scan_preagg_usage", "unified_usage", "trace_summary", "log_parse", "filled_grid", "feature_table", "split_summary",
     "train_stats", "scale_features", "cluster_mean_view", "modeling_ready", "scaling_decision", "streaks",
-    "window_feed_write", "forecast_series", "transfer_change", "class_report",
+    "window_feed_write", "forecast_series", "feature_table_day", "write_log_text", "zscore_by_provider", "recommend_batch", "transfer_change", "class_report",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("NODETIDE_ALL") else SAMPLE
 
