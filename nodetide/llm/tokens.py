@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
 
-#: Pieces remembered by a worker, and the longest that is.
-CACHED, CACHED_LENGTH = 800_000, 48
+#: Pieces remembered by a worker (about 200 bytes each), and the longest that is.
+CACHED, CACHED_LENGTH = 1_500_000, 48
 #: Characters encoded at a time.
 SLICE = 1 << 19
 
 PLAIN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]")
+ODD_SPACE = re.compile(r"\s (?:\s|\Z)")
 BORDER = re.compile(r"(?<=\S)(?=[ \n])")
 #: Signs at a piece's end; after a letter they are merged among themselves only. The apostrophe is none: it begins endings.
 SIGNS = re.compile(r"[!-&(-/:-@\[-`{-~]+\Z")
@@ -33,30 +34,48 @@ def public_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _parts(piece: str) -> list[str]:
-    """A piece cut where the vocabulary cannot merge: after a single leading line break, and between a letter and signs."""
+def _alphabet() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as they are and the others as the characters from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
+ALPHABET = _alphabet()
+
+
+def _parts(text: str) -> list[str]:
+    """A piece cut where the vocabulary cannot merge: before white space, after a lone line break, between a letter and signs."""
     parts = []
-    if piece[:1] == "\n" and piece[1:2].strip():
-        parts, piece = ["\n"], piece[1:]
-    signs = SIGNS.search(piece)
-    if signs and signs.start() and piece[signs.start() - 1].isalpha():
-        return [*parts, piece[:signs.start()], signs[0]]
-    return [*parts, piece] if piece else parts
+    for piece in [text] if OTHER_SPACE.search(text) else PLAIN.findall(text):
+        if piece[0] == "\n" and piece[1:2].strip():
+            parts.append("\n")
+            piece = piece[1:]
+        signs = SIGNS.search(piece)
+        if signs and signs.start() and piece[signs.start() - 1].isalpha():
+            parts.append(piece[:signs.start()])
+            piece = signs[0]
+        parts.append(piece)
+    return parts
 
 
 class _Known(dict):
-    """Ids of pieces; one that is new is put together from its line break, word and signs, which recur more often."""
+    """Ids of pieces that stand after `lead`; new ones are put together from words, signs and line breaks, which recur more often."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, lead: str):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.merge, self.lead = tokenizer, tokenizer.model.tokenize, lead
+        self.bare = self.spaced = self
 
     def __missing__(self, piece: str) -> bytes:
-        parts = _parts(piece)
-        if len(parts) > 1:
-            data = b"".join([self[p] for p in parts])
+        whole = self.lead + piece
+        if piece.isalpha():  # one word, with or without its blank: nothing to cut before the merges
+            ids = [t.id for t in self.merge(whole.encode().decode("latin-1").translate(ALPHABET))]
+            data = struct.pack(f"<{len(ids)}I", *ids)
+        elif len(parts := _parts(whole)) > 1:
+            data = b"".join([self.spaced[p[1:]] if p[0] == " " else self.bare[p] for p in parts])
         else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            ids = self.tokenizer.encode(whole, add_special_tokens=False).ids
             data = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHED_LENGTH:
             if len(self) >= CACHED:
@@ -73,7 +92,9 @@ class Encoder:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known = _Known(tokenizer)
+        self.tokenizer = tokenizer
+        self.bare, self.spaced = _Known(tokenizer, ""), _Known(tokenizer, " ")
+        self.bare.spaced, self.spaced.bare = self.spaced, self.bare
 
     def _slices(self, text: str) -> Iterator[str]:
         """The text in slices that end before white space which follows another character."""
@@ -90,8 +111,12 @@ class Encoder:
         """The ids of a whole text."""
         out = []
         for part in self._slices(text):
-            pieces = BORDER.split(part) if OTHER_SPACE.search(part) else PLAIN.findall(part)
-            out.append(b"".join(map(self.known.__getitem__, pieces)))
+            if ODD_SPACE.search(part):
+                out += [self.bare[p] for p in BORDER.split(part)]
+            else:  # every blank is the first or the last of its run of white space: cuts there change nothing
+                first, *rest = part.split(" ")
+                out.append(self.bare[first])
+                out.append(b"".join(map(self.spaced.__getitem__, rest)))
         return b"".join(out)
 
 

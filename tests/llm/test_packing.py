@@ -1,3 +1,4 @@
+import functools
 import itertools
 import random
 import zlib
@@ -11,11 +12,15 @@ from hypothesis import strategies as st
 from nodetide.llm import packing, tokens
 
 
-def library_ids(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.public_path())
-    return t.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(tokens.public_path())
+
+
+def library_ids(text):
+    return library().encode(text, add_special_tokens=False).ids
 
 
 PIECES = st.sampled_from(["a", "Word", " ", "  ", "\n", "\n\n", "\t", "é", "ñ", "12", "3.5", "'s", "'ll", "!!", " ", "\x1c", "\x85", "　", "日本", " the", "x" * 60, "\r\n", "🙂", ",", ".", "&&&", "_", "-"])
