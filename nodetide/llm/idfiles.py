@@ -2,8 +2,9 @@
 
 A data set is a folder:
 
-* `*.ids`   the ids of a shard's documents one after the other, unsigned 32-bit little-endian, in ascending key order;
-* `*.len`   the number of ids of each of them, alike;
+* `*.ids`   the ids of a shard's documents one after the other, in ascending key order, unsigned little-endian: 16 bits where
+            the vocabulary has no more ids, else 32 (`width` bytes);
+* `*.len`   the number of ids of each of them, 32 bits;
 * `*.mph`   an index of the keys that hash to one bucket: a perfect hash, 32-bit fingerprints by number, the first segment
             by number, and segments (shard, first document, documents, ids, ids before it in the shard). A key has one
             segment, or one for each shard where rows repeat it;
@@ -53,13 +54,13 @@ def bucket_of(key_col: str, buckets: int):
     return F.pmod(F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit("\x00no key"))), F.lit(buckets)).cast("int")
 
 
-def _shard_writer(folder: str, path: str, end: int, arrow: pa.Schema):
+def _shard_writer(folder: str, path: str, end: int, width: int, arrow: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, name = TaskContext.get().partitionId(), f"shard-{uuid.uuid4().hex}"
         store, base = filesystem(folder)
-        encode, tail = tokens.encoder(path).ids, np.array([end], "<u4").tobytes()
+        encode, tail = tokens.encoder(path).ids, np.array([end], f"<u{width}").tobytes()
         docs = before = 0
         lengths: list[int] = []
         out = None
@@ -67,10 +68,10 @@ def _shard_writer(folder: str, path: str, end: int, arrow: pa.Schema):
             for batch in batches:
                 n = []
                 for text in batch.column(1).to_pylist():
-                    data = encode(text or "") + tail
+                    data = np.frombuffer(encode(text or ""), "<u4").astype(f"<u{width}").tobytes() + tail
                     out = out or store.open_output_stream(f"{base}/{name}.ids")
                     out.write(data)
-                    n.append(len(data) // 4)
+                    n.append(len(data) // width)
                 lengths += n
                 ends = np.cumsum(n) + before
                 made = {"shard": [shard] * len(n), "file": [name] * len(n), "place": range(docs, docs + len(n)), "n": n, "before": ends - n}
@@ -142,19 +143,20 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END,
     spark = docs.sparkSession
     prepare(spark)
     path = path or tokens.public_path()
+    width = 2 if max(tokens.encoder(path).tokenizer.get_vocab_size() - 1, end) < 1 << 16 else 4
     filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     size, count = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     shards = max(1, -(-(size or 0) // shard_bytes))
     schema = spark.createDataFrame([], f"key {rows.schema[0].dataType.simpleString()}, shard int, file string, place long, n long, before long").schema
     dealt = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(shards, "key", "tie").sortWithinPartitions("key", "tie").drop("tie")
-    placed = staged(dealt.mapInArrow(_shard_writer(folder, path, end, _arrow_schema(schema)), schema), "placed")
+    placed = staged(dealt.mapInArrow(_shard_writer(folder, path, end, width, _arrow_schema(schema)), schema), "placed")
     totals = placed.groupBy("shard", "file").agg(F.count("*").alias("docs"), F.sum("n").alias("ids")).orderBy("shard").collect()  # a row a file
     base, listed = 0, []
     for r in totals:
-        listed.append((r["shard"], r["file"], r["docs"], r["ids"], base))
+        listed.append((r["shard"], r["file"], width, r["docs"], r["ids"], base))
         base += r["ids"]
-    spark.createDataFrame(listed, "shard int, file string, docs long, ids long, base long").coalesce(1).write.parquet(f"{folder}/shards")
+    spark.createDataFrame(listed, "shard int, file string, width int, docs long, ids long, base long").coalesce(1).write.parquet(f"{folder}/shards")
     buckets = max(1, -(-count // index_keys))
     segments = placed.groupBy(F.col("key").cast("string").alias("key"), "shard").agg(F.min("place").alias("first"), F.count("*").alias("docs"), F.sum("n").alias("ids"), F.min("before").alias("before"))
     segments.withColumn("bucket", bucket_of("key", buckets)).groupBy("bucket").applyInPandas(
@@ -187,9 +189,9 @@ def _reader(folder: str, keep_ids: bool, arrow: pa.Schema):
                     ids = store.open_input_file(f"{base}/{name}.ids")
                     with store.open_input_file(f"{base}/{name}.len") as f:
                         lengths = np.frombuffer(f.read(), "<u4")
-                before, first = column["before"][i], column["first"][i]
+                before, first, width = column["before"][i], column["first"][i], column["width"][i]
                 for n in lengths[first:first + column["docs"][i]].tolist():
-                    data = ids.read_at(4 * n, 4 * before)
+                    data = np.frombuffer(ids.read_at(width * n, width * before), f"<u{width}").astype("<u4").tobytes()
                     row.append(i)
                     for k, v in zip(out, (column["base"][i] + before, n, zlib.crc32(data), data if keep_ids else None)):
                         out[k].append(v)
@@ -213,9 +215,9 @@ def look_up(spark: SparkSession, folder: str, keys: DataFrame, key_col: str, kee
     named = indexes.select("bucket", F.col("file").alias("index_file"))
     found = wanted.withColumn("bucket", bucket_of("key", some[0] if some else 1)).join(named, "bucket").groupBy("bucket").applyInPandas(
         _look_up(folder), "key string, shard long, first long, docs long, ids long, before long")
-    shards = spark.read.parquet(f"{folder}/shards").select("shard", "file", "base")
+    shards = spark.read.parquet(f"{folder}/shards").select("shard", "file", "width", "base")
     schema = spark.createDataFrame([], f"key {kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids).schema
-    segments = found.join(shards, "shard").select(F.col("key").cast(kind).alias("key"), "file", "base", "first", "docs", "before")
+    segments = found.join(shards, "shard").select(F.col("key").cast(kind).alias("key"), "file", "width", "base", "first", "docs", "before")
     n = max(1, shards.count())
     return segments.repartition(n, "file").sortWithinPartitions("file", "first").mapInArrow(_reader(folder, keep_ids, _arrow_schema(schema)), schema)
 
@@ -225,7 +227,7 @@ class Reader:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.store, self.base = filesystem(folder)
-        self.shards = {r["shard"]: r["file"] for r in spark.read.parquet(f"{folder}/shards").collect()}
+        self.shards = {r["shard"]: (r["file"], r["width"]) for r in spark.read.parquet(f"{folder}/shards").collect()}
         rows = spark.read.parquet(f"{folder}/indexes").collect()
         self.files, self.buckets = {r["bucket"]: r["file"] for r in rows}, rows[0]["buckets"] if rows else 1
         self.loaded: dict[int, Index] = {}
@@ -242,10 +244,11 @@ class Reader:
                 self.loaded[bucket] = Index(f.read())
         out = []
         for s in self.loaded[bucket].find([key_bytes(key)])[1]:
-            file = f"{self.base}/{self.shards[int(s['shard'])]}"
+            name, width = self.shards[int(s["shard"])]
+            file = f"{self.base}/{name}"
             with self.store.open_input_file(f"{file}.len") as f:
                 lengths = np.frombuffer(f.read_at(4 * int(s["docs"]), 4 * int(s["first"])), "<u4")
             with self.store.open_input_file(f"{file}.ids") as f:
-                data = np.frombuffer(f.read_at(4 * int(s["ids"]), 4 * int(s["before"])), "<u4")
+                data = np.frombuffer(f.read_at(width * int(s["ids"]), width * int(s["before"])), f"<u{width}")
             out += np.split(data, np.cumsum(lengths)[:-1])
         return out
