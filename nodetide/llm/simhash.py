@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nodetide.llm import nearcopies
 from nodetide.llm.common import map_rows, prepare, spare_name, staged
 from nodetide.llm.components import components
 
@@ -166,22 +167,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of one document of every component, all columns as they are: the one with the smallest id.
 
-    Of several rows with that id and text one is kept; of a component without ids the row whose text has the least hash.
+    Unlike `near_duplicates`, texts are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8 or
+    more (`nearcopies`); fingerprints of such texts can differ in far more bits than a radius over tiles reaches. Texts
+    without words are one component. Of several rows with the least id and text one is kept; of a component without ids the
+    row whose text has the least hash.
     """
     prepare(docs.sparkSession)
     digest = spare_name(docs, "text_digest")[0]
-    prints = staged(map_rows(
-        docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")),
-        lambda texts: {"fp": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)}, "text", "fp long",
-        ["id", "digest"]), "fingerprints")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    prints = staged(map_rows(rows, nearcopies.sketches, "text", nearcopies.SKETCH, ["id", "digest"]), "sketches")
     first = F.struct(F.col("id").isNull().alias("no"), F.col("id"), F.col("digest"))
-    distinct = staged(prints.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
-    roots = components(close_edges(distinct.select("fp"), radius))
-    kept = staged(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(
-        F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.id", "first.digest"), "kept")
+    distinct = staged(prints.groupBy("set").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        at = distinct.join(wanted, "set", "left_semi").select("set", F.col("first.id").alias("at_id"), F.col("first.digest").alias("at_digest"))
+        return rows.join(at, rows["id"].eqNullSafe(at["at_id"]) & (rows["digest"] == at["at_digest"])).select("set", "text")
+
+    roots, classes = nearcopies.linked(distinct, texts_of), distinct.select("set", "first")
+    if roots is None:
+        kept = classes
+    else:
+        kept = classes.join(roots.withColumnRenamed("node", "set"), "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(
+            F.min("first").alias("first"))
+    kept = staged(kept.select("first.id", "first.digest"), "kept")
     known = docs.withColumn(digest, F.xxhash64(text_col))
     found = known.join(kept, known[id_col].eqNullSafe(kept["id"]) & (known[digest] == kept["digest"]), "left_semi")
     repeated = prints.groupBy("id", "digest").count().where("count > 1").limit(1).count()
