@@ -26,14 +26,22 @@ KINDS = ("email", "card", "phone", "ip", "iban", "ssn", "date")
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}$")
+LOCAL_CHARS = frozenset(LOWER + UPPER + DIGITS + "._%+-")
+#: Characters of a local part that are permuted together.
+LOCAL_PART = 64
 DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
-#: Numbers with their separators.
+#: Characters of an IBAN by its country.
+IBAN_LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in cs.split()}
+#: Numbers with their separators. A time or a Z may follow a date.
 NUMERIC = re.compile(
     r"(?<![A-Za-z0-9])(?<!\d\.)(?:"
     r"(?P<iban>[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
     r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d|[A-Za-z])"
-    r"|(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\d|[A-Za-z])"
+    r"|(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\d|(?![Tt]\d{2}:?\d{2}|[Zz](?![A-Za-z0-9]))[A-Za-z])"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?!-?\d|[A-Za-z])"
     r"|(?P<card>\d{4}(?P<sep>[\x20-]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}|\d{4}(?P<sep2>[\x20-]?)\d{6}(?P=sep2)\d{5})(?!\d|[A-Za-z])"
     r"|(?P<phone>(?:\+?1[\x20.-]?)?\(\d{3}\)\x20?\d{3}[\x20.-]\d{4}|(?:\+?1[\x20.-])?\d{3}(?P<sep3>[.-])\d{3}(?P=sep3)\d{4}"
@@ -113,7 +121,8 @@ class Pseudonyms:
     def email(self, text: str) -> str | None:
         local, _, domain = text.rpartition("@")
         name, _, top = domain.rpartition(".")
-        return f"{self._classes('email', local)}@{self._classes('domain', name)}.{top}"
+        parts = [self._classes("email", local[i:i + LOCAL_PART]) for i in range(0, len(local), LOCAL_PART)]
+        return f"{''.join(parts)}@{self._classes('domain', name)}.{top}"
 
     def card(self, text: str) -> str | None:
         digits = re.sub(r"\D", "", text)
@@ -152,6 +161,16 @@ class Pseudonyms:
         body = self._classes("iban", plain[4:])
         return _refill(text, plain[:2] + f"{98 - number(body + plain[:2] + '00') % 97:02d}" + body)
 
+    def own_iban(self, text: str) -> str | None:
+        """The leading part of a match that has the length of its country and is valid: groups that follow are not of the number."""
+        left = IBAN_LENGTHS.get(text[:2], 0)
+        for end, c in enumerate(text, 1):
+            left -= c != " "
+            if left == 0:
+                part = text[:end]
+                return part if text[end:end + 1] in ("", " ") and self.value("iban", part) is not None else None
+        return None
+
     def ssn(self, text: str) -> str | None:
         def valid(n: int) -> bool:
             area, group, serial = n // 10**6, n // 10**4 % 100, n % 10**4
@@ -193,32 +212,34 @@ class Pseudonyms:
 
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym) of all valid values, in order, without overlap."""
-        found, at = [], text.find("@")
+        found, at, after = [], text.find("@"), 0
         while at >= 0:
-            local = LOCAL.search(text, max(0, at - 64), at)
-            domain = DOMAIN.match(text, at + 1)
-            if local and domain:
-                start = local.start()
+            domain, start = DOMAIN.match(text, at + 1), at
+            if domain:
+                while start > after and text[start - 1] in LOCAL_CHARS:
+                    start -= 1
                 while start < at and text[start] in ".%+-_":
                     start += 1
                 if start < at and not (found and start < found[-1][1]):
                     found.append((start, domain.end(), "email", self.value("email", text[start:domain.end()])))
-            at = text.find("@", at + 1)
+            at, after = text.find("@", at + 1), at + 1
         mails = found[:]
         at = 0
         while m := NUMERIC.search(text, at):
             kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS[1:] if m[k] is not None)
+            taken = kind == "iban" and self.own_iban(m[0]) or m[0]
+            end = m.start() + len(taken)
             while mails and mails[0][1] <= m.start():
                 mails.pop(0)
-            if mails and mails[0][0] < m.end():
+            if mails and mails[0][0] < end:
                 at = max(mails[0][1], m.start() + 1)
                 continue
-            image = self.value(kind, m[0])
+            image = self.value(kind, taken)
             if image is None:  # not valid: what follows its first run of letters and digits may be
                 at = RUN.match(text, m.start()).end()
             else:
-                found.append((m.start(), m.end(), kind, image))
-                at = m.end()
+                found.append((m.start(), end, kind, image))
+                at = end
         return sorted(found)
 
     def replace(self, text: str | None) -> tuple[str | None, dict[str, int]]:

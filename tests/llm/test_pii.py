@@ -76,3 +76,38 @@ def test_frames_and_edges(spark):
     kept = pii.replaced(df, KEY)
     assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(i, want.replace(t)[0], n, m) for i, t, n, m in rows]
     assert pii.pseudonymise(df.limit(0), KEY).count() == 0
+
+
+IBANS = ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "PL61 1090 1014 0000 0712 1981 2874",
+         "SE45 5000 0000 0583 9825 7466", "CZ65 0800 0000 1920 0014 5399", "GB82 WEST 1234 5698 7654 32"]
+
+
+@pytest.mark.parametrize("iban", [*IBANS, "ES9121000418450200051332"])
+@pytest.mark.parametrize("after", [" BIC CAIXESBB", " 2024", " EUR", " EUR 20", " BIC@x.org", ""])
+def test_an_iban_ends_where_its_country_says(iban, after):
+    text = f"an {iban}{after}"
+    made, counts = pii.Pseudonyms(KEY).replace(text)
+    assert counts["iban"] == 1 and iban not in made and made[:5] == text[:5] and len(made) == len(text)
+    if "@" not in after:
+        assert made.endswith(after)
+    assert pii.Pseudonyms(KEY, back=True).replace(made)[0] == text
+
+
+@pytest.mark.parametrize("after", ["T10:30:00Z", "T10:30", "T1030Z", "t10:30:00+01:00", "Z", " 10:30"])
+def test_dates_before_a_time_are_linked(after):
+    p = pii.Pseudonyms(KEY)
+    made, counts = p.replace(f"at 2024-01-15{after}, 2024-01-15")
+    new = p.value("date", "2024-01-15")
+    assert counts == {"date": 2} and made == f"at {new}{after}, {new}"
+
+
+@pytest.mark.parametrize("text", ["2024-01-15th", "2024-01-15Tx", "2024-01-15Zulu"])
+def test_other_letters_after_a_date(text):
+    assert pii.Pseudonyms(KEY).replace(text) == (text, {})
+
+
+def test_long_local_parts_are_replaced_whole():
+    text = "to " + "abcdefghij" * 7 + ".k@mail.example.com now"
+    made, counts = pii.Pseudonyms(KEY).replace(text)
+    assert counts == {"email": 1} and len(made) == len(text)
+    assert sum(a == b for a, b in zip(made[3:73], text[3:73])) < 20 and pii.Pseudonyms(KEY, back=True).replace(made)[0] == text
