@@ -112,13 +112,23 @@ def _with_features(urls: DataFrame, stats: DataFrame, overall: float) -> DataFra
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(made)
 
 
-def _fit(labelled: DataFrame, stats: DataFrame, overall: float, decided: int, config: UrlConfig) -> GBTClassificationModel:
-    """Trees on a sample of the labelled urls that is drawn by a hash of the url."""
-    share = min(1.0, config.train_rows / decided)
-    drawn = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    sample = staged(_with_features(drawn.dropDuplicates(["url"]), stats, overall).select("features", F.col("blocked_url").cast("double").alias("target")), "url-sample")
+def _fit(labelled: DataFrame, stats: DataFrame, overall: float, config: UrlConfig) -> GBTClassificationModel:
+    """Trees on a sample of the distinct labelled urls that is drawn by a hash of the url.
+
+    Where they are more than `train_rows`, each class may fill half of the sample, and what the other leaves free; a row
+    then weighs as much as the urls of its class that it stands for.
+    """
+    once = staged(labelled.groupBy("url").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("suffix").alias("suffix"),
+                                              F.first("blocked_url").alias("blocked_url")), "labelled-urls")
+    total = {r["blocked_url"]: r["count"] for r in once.groupBy("blocked_url").count().collect()}
+    rows = config.train_rows
+    share = {c: min(1.0, max(rows // 2, rows - total[not c]) / n) for c, n in total.items()}
+    own = F.when(F.col("blocked_url"), share[True]).otherwise(share[False])
+    drawn = once.where(F.pmod(F.xxhash64("url"), F.lit(1 << 40)) < own * (1 << 40)).withColumn("weight", 1 / own)
+    sample = staged(_with_features(drawn, stats, overall).select("features", F.col("blocked_url").cast("double").alias("target"), "weight"), "url-sample")
     enable_checkpoints(labelled.sparkSession)
-    trees = GBTClassifier(labelCol="target", maxIter=config.trees, maxDepth=config.depth, stepSize=config.step, seed=config.seed, subsamplingRate=1.0)
+    trees = GBTClassifier(labelCol="target", weightCol="weight", maxIter=config.trees, maxDepth=config.depth, stepSize=config.step, seed=config.seed,
+                          subsamplingRate=1.0)
     return trees.fit(sample) if sample.select("target").distinct().count() == 2 else None
 
 
@@ -140,7 +150,7 @@ def judge(pages: DataFrame, config: UrlConfig, id_col: str = "page_id", url_col:
     decided, blocked = stats.agg(F.sum("decided"), F.sum("blocked")).first()
     decided, blocked = decided or 0, blocked or 0
     overall = blocked / decided if decided else 0.0
-    model = _fit(urls.where("found is not null"), stats, overall, decided, config) if 0 < blocked < decided else None
+    model = _fit(urls.where("found is not null"), stats, overall, config) if 0 < blocked < decided else None
     if model is None:
         scored = urls.withColumn("block_score", F.lit(1.0 if decided and blocked == decided else 0.0))
     else:

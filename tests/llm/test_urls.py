@@ -83,3 +83,13 @@ def test_no_python_in_the_plan(spark, capsys):
     U.judge(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), U.UrlConfig(RULES)).explain("formatted")
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_a_rare_class_is_in_the_sample(spark):
+    rules = (U.Rule("good.org/", "allow"), U.Rule("bad.com/", "block"))
+    seen = [f"https://good.org/a{i}" for i in range(1500) for _ in range(2)]
+    seen += [f"http://bad.com/{'x' * 60}-{i}?q=1&r=2" for i in range(3)]
+    seen += [f"http://other.com/{'x' * 60}-9?q=1&r=2", "https://other.org/a7"]
+    pages = spark.createDataFrame(list(enumerate(seen)), "page_id long, url string")
+    got = {r.page_id: r for r in U.judge(pages, U.UrlConfig(rules=rules, train_rows=40)).collect()}
+    assert got[len(seen) - 2].block_score > got[len(seen) - 1].block_score
