@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nodetide.session import scratch_path, ship_package
@@ -65,6 +65,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(df: DataFrame, keys: list, number: str) -> DataFrame:
+    """`df` with its rows' places (from 0) in ascending order of `keys` in the column `number`, by one shuffle.
+
+    Rows go to ranges of the keys, equal keys to several of them where they are frequent; each range is sorted and counted,
+    and one row a range gives the ranges' starts. The sorted rows are written, so places and starts belong to one run.
+    Rows equal in all keys stand in no order of their own.
+    """
+    tie, part, at, before = spare_name(df, "tie", "part", "at", "before")
+    ranges = partitions(df.sparkSession)
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(ranges, *keys, F.col(tie)).sortWithinPartitions(*keys, F.col(tie))
+    placed = dealt.drop(tie).withColumn(at, F.monotonically_increasing_id())
+    placed = staged(placed.withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
+    counts = placed.groupBy(part).agg(F.count("*").alias(before))  # at most `ranges` rows
+    starts = counts.withColumn(before, F.sum(before).over(Window.orderBy(part)) - F.col(before))
+    return placed.join(F.broadcast(starts), part).withColumn(number, F.col(before) + F.col(at)).drop(part, at, before)
+
+
 def text_column(name: str = "text"):
     """The text, null as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nodetide.llm.oracle import ORACLE
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
 
 
 def _query(fn: Query) -> Query:
@@ -99,6 +100,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@_query
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nodetide.llm import resample
+
+    return resample.draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nodetide.llm import repair
+
+    return repair.audit(repair.damaged(_table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
+@_query
+def op13_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nodetide.llm import sharding
+
+    placed = sharding.assign(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def registered() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries of this subpackage and the SQL that checks them."""
     return dict(QUERIES), dict(ORACLE)
