@@ -28,6 +28,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the written tables that these DataFrames read; only for tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+        for folder in folders:
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def map_rows(df: DataFrame, fn: Callable[[list], dict[str, list]], column: str, schema: str, keep: list[str]) -> DataFrame:
     """One output row for each row: the columns `keep` and what `fn` makes of the values of `column`.
 

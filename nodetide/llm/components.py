@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodetide.llm.common import staged
+from nodetide.llm.common import discard, staged
 
 MAX_ROUNDS = 60
 
@@ -31,7 +31,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Columns node, root: for every node of an edge the smallest node that it is connected with.
 
-    Null ends, loops and repeated edges are ignored. Nodes without edges are not returned.
+    Null ends, loops and repeated edges are ignored. Nodes without edges are not returned. The result is a written table;
+    those of the rounds before are deleted.
     """
     pairs = edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"))
     pairs = staged(pairs.where("u is not null and v is not null and u <> v").distinct(), "edges")
@@ -41,6 +42,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         if not state[0] or tuple(state) == seen:
             return pairs.select(F.col("v").alias("node"), F.col("u").alias("root")).union(
                 pairs.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
-        seen = tuple(state)
-        pairs = staged(_small_star(_large_star(pairs)), "edges")
+        seen, before = tuple(state), pairs
+        pairs = staged(_small_star(_large_star(before)), "edges")
+        discard(before)
     raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")

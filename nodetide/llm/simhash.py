@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodetide.llm import nearcopies
-from nodetide.llm.common import map_rows, prepare, spare_name, staged
+from nodetide.llm.common import discard, map_rows, prepare, spare_name, staged
 from nodetide.llm.components import components
 
 SEED = 42
@@ -171,8 +171,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of one document of every component, all columns as they are: the one with the smallest id.
 
     Unlike `near_duplicates`, texts are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8 or
-    more (`nearcopies`); fingerprints of such texts can differ in far more bits than a radius over tiles reaches. Texts
-    without words are one component. Of several rows with the least id and text one is kept; of a component without ids the
+    more; fingerprints of such texts differ in more bits than tiles of equal bits reach, so tiles are formed by MinHash
+    (`nearcopies`). Null texts count as empty; texts without words are one component. Very long texts are hashed slice by
+    slice and are compared whole. Of several rows with the least id and text one is kept; of a component without ids the
     row whose text has the least hash.
     """
     prepare(docs.sparkSession)
@@ -180,7 +181,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     prints = staged(map_rows(rows, nearcopies.sketches, "text", nearcopies.SKETCH, ["id", "digest"]), "sketches")
     first = F.struct(F.col("id").isNull().alias("no"), F.col("id"), F.col("digest"))
-    distinct = staged(prints.groupBy("set").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct")
+    distinct = staged(prints.groupBy("set").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         at = distinct.join(wanted, "set", "left_semi").select("set", F.col("first.id").alias("at_id"), F.col("first.digest").alias("at_digest"))
@@ -193,9 +194,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         kept = classes.join(roots.withColumnRenamed("node", "set"), "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(
             F.min("first").alias("first"))
     kept = staged(kept.select("first.id", "first.digest"), "kept")
+    repeated = prints.groupBy("id", "digest").count().where("count > 1").limit(1).count()
+    discard(prints, distinct, *([] if roots is None else [roots]))
     known = docs.withColumn(digest, F.xxhash64(text_col))
     found = known.join(kept, known[id_col].eqNullSafe(kept["id"]) & (known[digest] == kept["digest"]), "left_semi")
-    repeated = prints.groupBy("id", "digest").count().where("count > 1").limit(1).count()
     if repeated:
         found = found.dropDuplicates([id_col, digest])
     return found.drop(digest)

@@ -1,12 +1,15 @@
 """Token ids of whole texts with the tokenizers library, piece by piece with a bounded cache.
 
-A byte-level vocabulary never merges across the border between a character and white space after it, so a text is cut
-there and equal pieces are encoded once. This gives the ids of the whole text, and no long text is handed over at once.
+The ids are those of the library for the whole text, without the tokens it would add around it; strings of special tokens
+in a text become their ids, as the library has it. A byte-level vocabulary never merges across the border between a character
+and white space after it, so a text is cut there and equal pieces are encoded once, and no long text is handed over at once.
+Vocabularies of another build, and texts with tokens that look beyond their own string, go to the library whole.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
@@ -84,6 +87,16 @@ class _Known(dict):
         return data
 
 
+def _cuttable(tokenizer) -> bool:
+    """Whether a vocabulary is built so that texts may be cut before white space: byte-level BPE on the texts as they are."""
+    made = json.loads(tokenizer.to_str())
+    pre, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+    return (
+        not made.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        and not model.get("ignore_merges") and not made.get("truncation") and not made.get("padding"))
+
+
 class Encoder:
     """Encodes texts by the vocabulary file `path`; ids as little-endian unsigned 32-bit bytes."""
 
@@ -91,8 +104,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.tokenizer = tokenizer
+        added = tokenizer.get_added_tokens_decoder()
+        self.tokenizer, self.cuttable = tokenizer, _cuttable(tokenizer)
+        self.whole = [t.content for t in added.values() if t.lstrip or t.rstrip or t.single_word]
+        self.alone = {t.content: struct.pack("<I", i) for i, t in added.items()}
+        longest_first = sorted(self.alone, key=len, reverse=True)
+        self.marks = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         self.bare, self.spaced = _Known(tokenizer, ""), _Known(tokenizer, " ")
         self.bare.spaced, self.spaced.bare = self.spaced, self.bare
 
@@ -109,6 +126,15 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """The ids of a whole text."""
+        if not self.cuttable or any(t in text for t in self.whole):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        if not self.marks or not self.marks.search(text):
+            return self._between(text)
+        return b"".join([self.alone[part] if i % 2 else self._between(part) for i, part in enumerate(self.marks.split(text)) if part])
+
+    def _between(self, text: str) -> bytes:
+        """The ids of a text without special tokens."""
         out = []
         for part in self._slices(text):
             if ODD_SPACE.search(part):

@@ -23,7 +23,7 @@ def library_ids(text):
     return library().encode(text, add_special_tokens=False).ids
 
 
-PIECES = st.sampled_from(["a", "Word", " ", "  ", "\n", "\n\n", "\t", "é", "ñ", "12", "3.5", "'s", "'ll", "!!", " ", "\x1c", "\x85", "　", "日本", " the", "x" * 60, "\r\n", "🙂", ",", ".", "&&&", "_", "-"])
+PIECES = st.sampled_from(["a", "Word", " ", "  ", "\n", "\n\n", "\t", "é", "ñ", "12", "3.5", "'s", "'ll", "!!", " ", "\x1c", "\x85", "　", "日本", " the", "x" * 60, "\r\n", "🙂", ",", ".", "&&&", "_", "-", "<|endoftext|>", "<|endoftext", "|>"])
 
 
 @settings(max_examples=300, deadline=None)
@@ -36,7 +36,10 @@ def test_ids_equal_those_of_the_library(pieces):
 def test_slices_and_a_full_cache_change_nothing(monkeypatch):
     rng = random.Random(2)
     text = "".join(rng.choice(["the ", "of\n", "x  y", "Zebra", "\n \n", "7", " ", "\t", "wörd"]) for _ in range(3000))
+    mark = "<|endoftext|>"
+    text = mark + text[:400] + mark + " " + mark + mark + text[400:] + " " + mark
     want = library_ids(text)
+    assert want.count(50256) == 5
     monkeypatch.setattr(tokens, "SLICE", 50)
     monkeypatch.setattr(tokens, "CACHED", 7)
     e = tokens.Encoder(tokens.public_path())
@@ -44,6 +47,16 @@ def test_slices_and_a_full_cache_change_nothing(monkeypatch):
         assert np.frombuffer(e.ids(text), "<u4").tolist() == want
 
 
+def test_vocabularies_of_another_build_go_to_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokens.public_path("word_bpe_49k.json")
+    texts = ["Words  and\nmore WORDS", "a <|endoftext|> b", "", "  x " * 50]
+    assert not tokens.Encoder(path).cuttable and tokens.Encoder(tokens.public_path()).cuttable
+    for text in texts:
+        assert np.frombuffer(tokens.Encoder(path).ids(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def unpack(runs, counts):
     """Every piece at its place: sequence -> [(offset, length)]; ranks of a length are used once each."""
     seqs, ranks = defaultdict(list), defaultdict(list)
