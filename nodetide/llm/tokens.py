@@ -9,7 +9,6 @@ Vocabularies of another build, and texts with tokens that look beyond their own
 from __future__ import annotations
 
 import functools
-import json
 import os
 import re
 import struct
@@ -18,7 +17,7 @@ from collections.abc import Iterator
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
 
 #: Pieces remembered by a worker (about 200 bytes each), and the longest that is.
-CACHED, CACHED_LENGTH = 1_500_000, 48
+CACHED, CACHED_LENGTH = 500_000, 48
 #: Characters encoded at a time.
 SLICE = 1 << 19
 
@@ -89,12 +88,14 @@ class _Known(dict):
 
 def _cuttable(tokenizer) -> bool:
     """Whether a vocabulary is built so that texts may be cut before white space: byte-level BPE on the texts as they are."""
-    made = json.loads(tokenizer.to_str())
-    pre, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+    from tokenizers.models import BPE
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    pre, model = tokenizer.pre_tokenizer, tokenizer.model
     return (
-        not made.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
-        and not model.get("ignore_merges") and not made.get("truncation") and not made.get("padding"))
+        tokenizer.normalizer is None and isinstance(pre, ByteLevel) and not pre.add_prefix_space and pre.use_regex and isinstance(model, BPE)
+        and not model.dropout and not model.continuing_subword_prefix and not model.end_of_word_suffix and not model.ignore_merges
+        and tokenizer.truncation is None and tokenizer.padding is None)
 
 
 class Encoder:
