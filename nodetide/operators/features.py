@@ -157,10 +157,9 @@ def window_features(grid: DataFrame, cfg: TraceConfig, labels: bool = True) -> D
     if cfg.use_day:
         level = _join_blocks(level, 72, 288, False, ())
 
-    angle = "(window_ts % 86400) / 86400D * (2 * pi())"
     return level.selectExpr(
         *base,
-        f"sin({angle}) AS tod_sin", f"cos({angle}) AS tod_cos",
+        *CLOCK,
         *[
             c
             for m in METRICS
@@ -214,10 +213,24 @@ def compute_features(metrics: DataFrame, logs: DataFrame | None, cfg: TraceConfi
             context, ["cloud_provider", "window_ts"]
         )
         rows = rows.join(at_samples, ["cloud_provider", "node_id", "window_ts"])
+    return with_derived(rows, cfg)
+
+
+def with_derived(rows: DataFrame, cfg: TraceConfig) -> DataFrame:
+    """Window features with the columns made from them and from the cluster context."""
     relative = [f"{m} - cl_{m}_mean AS {m}_vs_cl" for m in METRICS]
     return rows.selectExpr("*", *relative, *derived_columns(cfg))
 
 
+DAY_ANGLE = "(window_ts % 86400) / 86400D * (2 * pi())"
+CLOCK = (f"sin({DAY_ANGLE}) AS tod_sin", f"cos({DAY_ANGLE}) AS tod_cos")
+
+
+def with_clock(rows: DataFrame) -> DataFrame:
+    """Rows with their window's place in the day."""
+    return rows.selectExpr("*", *CLOCK)
+
+
 # ------------------------------------------------------------------------ splits
 def provider_bounds(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("cloud_provider").agg(

@@ -9,6 +9,7 @@ from nodetide.config import INSTANCE_PROVIDER, MODELING_COLUMNS, PERCENT_PROVIDE
 from nodetide.operators.grid import _with_neighbours, chunk_id
 from nodetide.operators.logs import provider_quantiles
 from nodetide.operators.providers import per_provider
+from nodetide.operators.ranks import draw_rows
 
 SHORT_STEPS, LONG_STEPS = 5, 15
 LABEL = "target_cpu_future"
@@ -102,10 +103,14 @@ def momentum_features(rows: DataFrame, source: str = INSTANCE_PROVIDER) -> DataF
 
 def quantile_split(rows: DataFrame, horizon: int, source: str = INSTANCE_PROVIDER,
                    target: str = PERCENT_PROVIDER) -> DataFrame:
-    """Splits at time quantiles, each ending one horizon before the next begins; rows in between belong to none."""
+    """Splits at time quantiles, each ending one horizon before the next begins; rows in between belong to none.
+
+    Rows of further providers are kept as part `other`, which no model reads.
+    """
     marks = provider_quantiles(rows, {"q": "timestamp_sec"}, {"06": 0.06, "08": 0.08, "10": 0.10, "80": 0.80})
     t = "timestamp_sec"
     rule = f"""CASE
+        WHEN cloud_provider NOT IN ('{source}', '{target}') THEN 'other'
         WHEN cloud_provider = '{source}' AND {t} <= q80 - {horizon} THEN 'train'
         WHEN cloud_provider = '{source}' AND {t} > q80 THEN 'valid'
         WHEN cloud_provider = '{target}' AND {t} <= q06 - {horizon} THEN 'fit'
@@ -117,10 +122,12 @@ def quantile_split(rows: DataFrame, horizon: int, source: str = INSTANCE_PROVIDE
     )
 
 
-def fit_budget(rows: DataFrame, limit: int, seed: int = 42) -> DataFrame:
-    """The rows a model is fitted on: a seeded sample of about `limit` if there are more. Not for anything that is judged."""
-    n = rows.count()
-    return rows if n <= limit else rows.sample(False, limit / n, seed)
+def fit_budget(rows: DataFrame, limit: int, seed: int = 42, keys: tuple[str, ...] = ("node_id", "timestamp_sec")) -> DataFrame:
+    """The rows a model is fitted on: exactly `limit` of them, drawn by a digest of their keys, if there are more.
+
+    Not for anything that is judged.
+    """
+    return draw_rows(rows, limit, seed, list(keys))
 
 
 def f_scores(rows: DataFrame, names: list[str], label: str) -> DataFrame:

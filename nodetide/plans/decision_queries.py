@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from nodetide.operators import decide as D
@@ -227,3 +229,15 @@ def alert_feed(spark, sf):
 def rec_filter(spark, sf):
     newest = D.latest_per_node(records(spark, sf))
     return D.shown_of_total(newest, cloud_provider="google", alert_level="NORMAL")
+
+
+@query("filtered_records", sql(f"""
+    SELECT asked, {', '.join(RECORD)} FROM (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY timestamp DESC) = 1),
+           (VALUES ('all', NULL, NULL), ('google', 'google', NULL), ('alibaba', 'alibaba', NULL), ('alibaba up', 'alibaba', 'SCALE_UP')) AS f(asked, cloud, wanted)
+    WHERE (cloud IS NULL OR cloud_provider = cloud) AND (wanted IS NULL OR action = wanted)"""))
+def filtered_records(spark, sf):
+    """The newest record of every node, whole, as each of four filters shows them."""
+    newest = D.latest_per_node(records(spark, sf)).select(*RECORD)
+    asked = {"all": {}, "google": {"cloud": "google"}, "alibaba": {"cloud": "alibaba"}, "alibaba up": {"cloud": "alibaba", "action": "SCALE_UP"}}
+    shown = [D.filter_records(newest, **wanted).withColumn("asked", F.lit(name)) for name, wanted in asked.items()]
+    return reduce(lambda x, y: x.unionByName(y), shown)

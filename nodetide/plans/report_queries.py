@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from nodetide.functions.expressions import clamp01
+from nodetide.models import forecast as Fc
 from nodetide.operators import features as X
 from nodetide.operators import quality as Q
 from nodetide.operators import report as Rep
@@ -12,10 +15,11 @@ from nodetide.operators.providers import few_rows
 from nodetide.plans import decision_queries as DQ
 from nodetide.plans import model_queries as MQ
 from nodetide.plans import telemetry as T
+from nodetide.plans import training_queries as TQ
 from nodetide.plans.oracle import STEP, r6, with_blocks
 from nodetide.plans.preprocess_queries import settle_all
 from nodetide.plans.registry import query
-from nodetide.session import scratch_path
+from nodetide.session import scratch_path, written
 from nodetide.sources import writers as W
 
 CFG = T.CHECK
@@ -192,3 +196,107 @@ def tuning(spark, sf):
            val_loss = min(val_loss) OVER (PARTITION BY source_cloud, target) AS is_best FROM tuning"""))
 def best_config(spark, sf):
     return settle_all(Q.best_config(tuning(spark, sf)))
+
+
+# ------------------------------------------------------------- from the trained models
+def model_series(spark, sf):
+    """The dashboard series with forecasts of the saved linear models: one step ahead in the past, rolled out beyond it.
+
+    Arrivals have no saved model of that kind and keep the last known value.
+    """
+    def build():
+        past = TQ.scored_rows(spark, sf, "linear_delta", "true").withColumnRenamed("target_ts", "t")
+        future = Fc.ahead(T.metrics(spark, sf), T.severities(spark, sf), TQ.linear_scorers(spark, sf), Rep.HORIZON, CFG)
+        ends = F.broadcast(few_rows(X.provider_bounds(T.metrics(spark, sf)).select("cloud_provider", "hi")))
+        known = past.join(ends, "cloud_provider").filter("t <= hi")
+        predicted = Fc.cluster_series(known, "pred_cpu", "pred_mem", "t").unionByName(Fc.cluster_series(future), allowMissingColumns=True)
+        points = actuals(spark, sf)
+        modelled = Rep.forecast_series(points.filter("metric <> 'taskArrival'"), CFG.step, predicted)
+        return modelled.unionByName(Rep.forecast_series(points.filter("metric = 'taskArrival'"), CFG.step).select(*modelled.columns))
+
+    return TQ.once(spark, ("model_series", sf), lambda: written(build(), "model-series"))
+
+
+@query("model_forecast_series")
+def model_forecast_series(spark, sf):
+    return model_series(spark, sf)
+
+
+@query("model_forecast_points", sql(f"""
+    SELECT cloud_provider, metric, point, CAST(t AS BIGINT) AS t, {r6('actual', 'actual')}, true AS forecast FROM series WHERE point >= 90"""))
+def model_forecast_points(spark, sf):
+    """The points ahead, and that each has a forecast within 0 and 1 (arrivals: any)."""
+    inside = F.col("predicted").isNotNull() & ((F.col("metric") == "taskArrival") | F.col("predicted").between(0, 1))
+    return settle_all(model_series(spark, sf).filter("point >= 90").select("cloud_provider", "metric", "point", "t", "actual", inside.alias("forecast")))
+
+
+@query("model_series_error")
+def model_series_error(spark, sf):
+    return Rep.series_error(model_series(spark, sf))
+
+
+@query("model_overview")
+def model_overview(spark, sf):
+    return Rep.overview(model_series(spark, sf), CFG.step)
+
+
+def trained_results(spark, sf):
+    runs = [TQ.run_of(spark, sf, f).results for f in ("gbt", "linear")]
+    return runs[0].unionByName(runs[1])
+
+
+@query("trained_comparison")
+def trained_comparison(spark, sf):
+    return Rep.model_comparison(trained_results(spark, sf), ["gbt_delta", "linear_delta"])
+
+
+@query("trained_transfer_change")
+def trained_transfer_change(spark, sf):
+    return Rep.transfer_change(trained_results(spark, sf))
+
+
+@query("trained_best_run")
+def trained_best_run(spark, sf):
+    return Rep.best_run(trained_results(spark, sf))
+
+
+@query("dashboard_documents", """
+    SELECT * FROM (VALUES ('comparison', 4::BIGINT), ('forecasts', 6::BIGINT), ('models', 2::BIGINT), ('overview', 2::BIGINT), ('transfer', 8::BIGINT)) AS d(document, entries)""")
+def dashboard_documents(spark, sf):
+    """All documents of the dashboard from the trained models, written as JSON and read back: entries of each."""
+    points = model_series(spark, sf).groupBy("cloud_provider", "metric").agg(F.sort_array(F.collect_list(F.struct("point", "t", "actual", "predicted"))).alias("points"))
+    tables = {
+        "forecasts": points, "overview": Rep.overview(model_series(spark, sf), CFG.step),
+        "comparison": Rep.model_comparison(trained_results(spark, sf), ["gbt_delta", "linear_delta"]),
+        "transfer": Rep.transfer_change(trained_results(spark, sf)), "models": TQ.model_cards(spark, sf),
+    }
+    found = []
+    for name, table in tables.items():
+        path = scratch_path(spark, name)
+        doc = W.json_document(table, is_sample=F.lit(False), entries=F.collect_list(F.struct(*table.columns)))
+        W.write_json_document(doc, path)
+        found.append(spark.read.json(path).select(F.lit(name).alias("document"), F.size("entries").cast("long").alias("entries")))
+    return reduce(lambda x, y: x.unionByName(y), found)
+
+
+@query("write_tuning_csv", """
+    SELECT model, target, source_cloud, configs, best FROM (VALUES ('gbt_delta', 6::BIGINT), ('linear_delta', 13::BIGINT)) AS m(model, configs),
+           (VALUES ('cpu'), ('mem')) AS t(target), (VALUES ('alibaba'), ('google')) AS c(source_cloud), (VALUES (1::BIGINT)) AS b(best)""")
+def write_tuning_csv(spark, sf):
+    """Tuning tables of the runs as CSV, read back: configurations tried and chosen for each model."""
+    tables = [TQ.run_of(spark, sf, f).tuning_table(spark) for f in ("gbt", "linear")]
+    rows, path = tables[0].unionByName(tables[1]), scratch_path(spark, "tuning")
+    W.write_report_csv(rows, path)
+    back = spark.read.option("header", "true").schema(rows.schema).csv(path)
+    return back.groupBy("model", "target", "source_cloud").agg(F.count("val_loss").alias("configs"), F.count_if("is_best").alias("best"))
+
+
+@query("write_importance_csv", f"""
+    SELECT model, target, source_cloud, feature FROM (VALUES ('gbt_delta'), ('linear_delta')) AS m(model), (VALUES ('cpu'), ('mem')) AS t(target),
+           (VALUES ('alibaba'), ('google')) AS c(source_cloud), (SELECT unnest([{', '.join(f"'{n}'" for n in TQ.LINE_NAMES)}]) AS feature)""")
+def write_importance_csv(spark, sf):
+    """Importance tables of the runs as CSV, read back: a row for every feature of every model."""
+    rows, path = TQ.feature_importance(spark, sf), scratch_path(spark, "importance")
+    W.write_report_csv(rows, path)
+    back = spark.read.option("header", "true").schema(rows.schema).csv(path)
+    return back.filter("importance >= 0").select("model", "target", "source_cloud", "feature")

@@ -122,19 +122,24 @@ def process_batch(job: StreamJob, batch: DataFrame, batch_id: int) -> None:
 
     since = lo - (cfg.history_windows - 1) * cfg.step
     history = job.between(spark, "history", HISTORY_SCHEMA, since, hi).select(*FEED_COLUMNS)
-    features = stream_features(job, history, windows).persist()
+    write_scores(job, stream_features(job, history, windows), history.filter(F.col("window_ts").isin(windows)), windows)
+
+
+def write_scores(job: StreamJob, features: DataFrame, arrived: DataFrame, windows: list[int]) -> None:
+    """Predictions, the feature log of the first windows, and the error of the predictions that the windows settle."""
+    spark, step = features.sparkSession, job.cfg.step
+    lo, hi = windows[0], windows[-1]
+    features = features.persist()
     try:
-        predictions = job.placed(score(features, job.scorer, cfg.step))
-        replace_partitions(predictions, job.path("predictions"), "block", "w")
-        log_until = job.first_window + job.feature_log_windows * cfg.step
+        replace_partitions(job.placed(score(features, job.scorer, step)), job.path("predictions"), "block", "w")
+        log_until = job.first_window + job.feature_log_windows * step
         if lo < log_until:
             logged = job.placed(features.filter(F.col("window_ts") < log_until))
             replace_partitions(logged, job.path("features_log"), "block", "w")
     finally:
         features.unpersist()
 
-    due = job.between(spark, "predictions", PREDICTION_SCHEMA, lo - cfg.step, hi - cfg.step).drop("block", "w")
-    arrived = history.filter(F.col("window_ts").isin(windows))
+    due = job.between(spark, "predictions", PREDICTION_SCHEMA, lo - step, hi - step).drop("block", "w")
     replace_partitions(job.placed(Q.live_error(due, arrived)), job.path("live_error"), "block", "w")
 
 

@@ -84,5 +84,6 @@ def test_weight_and_cap(spark):
     assert S.instance_weight(9000, 1000) == pytest.approx(3.0)
     assert S.instance_weight(1e9, 1) == 100.0
     df = spark.range(1000)
-    assert M.fit_budget(df, 1000) is df
-    assert 0 < M.fit_budget(df, 100).count() < 300
+    assert M.fit_budget(df, 1000, keys=("id",)) is df
+    one, two = ({r.id for r in M.fit_budget(d, 100, keys=("id",)).collect()} for d in (df, df.repartition(5)))
+    assert one == two and len(one) == 100
