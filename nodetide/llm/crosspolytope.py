@@ -31,8 +31,8 @@ from nodetide.llm.simhash import spanning
 SEED = 20240
 #: Vectors a bucket is meant to hold, rows of a block in a bucket that is too large, and rows compared at a time.
 BUCKET, LIMIT, STEP = 64, 4096, 128
-#: Second choices of a hash that may be probed.
-CHOICES = 3
+#: Second choices of a hash that may be probed, and the least length of a rotated vector.
+CHOICES, LEAST = 3, 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -46,7 +46,8 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def padded(dim: int) -> int:
-    return 1 << max(0, dim - 1).bit_length()
+    """Length that vectors are filled up to: a power of two, and not so short that signs and transform leave few rotations."""
+    return max(LEAST, 1 << max(0, dim - 1).bit_length())
 
 
 def settings(largest: int, dim: int) -> tuple[int, int, int]:

@@ -51,6 +51,20 @@ def test_recall_at_the_threshold(width):
     assert met.mean() >= 0.99
 
 
+@pytest.mark.parametrize("dim", [2, 3, 4, 5, 8, 100])
+@pytest.mark.parametrize("largest", [500, 10**5, 10**7])
+def test_recall_of_the_settings(dim, largest):
+    """The same for the width, tables and probes that a class of this size gets, also in few dimensions."""
+    a = RNG.normal(size=(500, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = RNG.normal(size=a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    ka, kb = (C.keys(v, *C.settings(largest, dim)) for v in (a, b))
+    met = ((kb == ka[:, :, :1]).any(2) | (ka == kb[:, :, :1]).any(2)).any(1)
+    assert met.mean() >= 0.93
+
+
 @pytest.mark.parametrize("limit,largest", [(C.LIMIT, None), (16, None), (C.LIMIT, 10**6)])
 def test_links_equal_brute_force(spark, monkeypatch, limit, largest):
     if largest:

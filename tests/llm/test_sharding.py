@@ -21,7 +21,7 @@ def plain_place(row, n, seed):
             return x
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 17, 50, 1025])
+@pytest.mark.parametrize("n", [1, 3, 17, 1025])
 def test_permutation_and_its_inverse(spark, n):
     order = sharding.Permutation(spark, n, 7)
     rows = spark.range(n).select("id", order.place(F.col("id")).alias("place")).select("*", order.row(F.col("place")).alias("back")).collect()
