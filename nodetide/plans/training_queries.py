@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from nodetide.functions.expressions import scaled, settled
 from nodetide.models import linear, store, transfer
 from nodetide.models import train as Tr
+from nodetide.operators import distinct as N
 from nodetide.operators import modeling as M
 from nodetide.operators import quality as Q
 from nodetide.operators import ranks as R
@@ -105,6 +106,16 @@ def kept_quantiles(spark, sf):
     return ranked.select("cloud_provider", "metric", "q", (error <= R.SKETCH_ERROR).alias("within"))
 
 
+@query("nodes_by_period", MQ.sql("""
+    SELECT cloud_provider, count(*) FILTER (WHERE a) AS nodes_first, count(*) FILTER (WHERE b) AS nodes_second, count(*) FILTER (WHERE a AND b) AS nodes_both, count(*) AS nodes_either
+    FROM (SELECT cloud_provider, node_id, bool_or(window_ts < 10 * 86400) AS a, bool_or(window_ts >= 10 * 86400) AS b FROM unified GROUP BY 1, 2) GROUP BY 1"""))
+def nodes_by_period(spark, sf):
+    """Nodes of the first ten days, of the others, of both and of either, from sketches kept by day."""
+    path = scratch_path(spark, "node-sketches")
+    W.write_partitioned(N.daily_nodes(T.metrics(spark, sf)), path)
+    return N.nodes_of_periods(spark.read.parquet(path), (0, 9), (10, 10_000))
+
+
 def per_provider_marks(metrics, marks):
     """Every row beside its provider's marks, a few for each."""
     return metrics.join(F.broadcast(few_rows(marks)), "cloud_provider")

@@ -2,7 +2,8 @@
 
 All state lives in tables below one folder, partitioned by window: a batch that is run again overwrites exactly the
 partitions it wrote before, and a restarted query finds its whole history. Partitions sit in coarse blocks of one
-history length, so a batch only lists the few blocks it needs however long the stream has run.
+history length, so a batch only lists the few blocks it needs however long the stream has run. A batch's last write is a
+manifest of its windows; tables are read by it, so all of a batch's tables come into sight together.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ PREDICTION_SCHEMA = (
 LIVE_SCHEMA = (
     "window_ts bigint, n bigint, rmse_cpu_model double, rmse_cpu_persist double, rmse_mem_model double, "
     "rmse_mem_persist double, " + PLACE)
+MANIFEST_SCHEMA = "window_ts bigint, batch bigint"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -69,6 +71,10 @@ class StreamJob:
         rows = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
         return rows.drop("block", "w")
 
+    def committed(self, spark: SparkSession, rows: DataFrame) -> DataFrame:
+        """The rows of windows whose batch has written all its tables."""
+        return rows.join(self.table(spark, "manifest", MANIFEST_SCHEMA).select("window_ts"), "window_ts", "left_semi")
+
     def between(self, spark: SparkSession, name: str, schema: str, lo: int, hi: int) -> DataFrame:
         """Rows of a state table from window lo to hi; only their blocks are listed, only their partitions read."""
         wanted = [f"{self.path(name)}/block={b}" for b in range(lo // self.block_seconds, hi // self.block_seconds + 1)]
@@ -122,11 +128,14 @@ def process_batch(job: StreamJob, batch: DataFrame, batch_id: int) -> None:
 
     since = lo - (cfg.history_windows - 1) * cfg.step
     history = job.between(spark, "history", HISTORY_SCHEMA, since, hi).select(*FEED_COLUMNS)
-    write_scores(job, stream_features(job, history, windows), history.filter(F.col("window_ts").isin(windows)), windows)
+    write_scores(job, stream_features(job, history, windows), history.filter(F.col("window_ts").isin(windows)), windows, batch_id)
+
 
+def write_scores(job: StreamJob, features: DataFrame, arrived: DataFrame, windows: list[int], batch_id: int) -> None:
+    """Predictions, the feature log of the first windows, and the error of the predictions that the windows settle.
 
-def write_scores(job: StreamJob, features: DataFrame, arrived: DataFrame, windows: list[int]) -> None:
-    """Predictions, the feature log of the first windows, and the error of the predictions that the windows settle."""
+    The manifest comes last: it names the batch's windows, and readers see none of its tables' rows before.
+    """
     spark, step = features.sparkSession, job.cfg.step
     lo, hi = windows[0], windows[-1]
     features = features.persist()
@@ -141,6 +150,8 @@ def write_scores(job: StreamJob, features: DataFrame, arrived: DataFrame, window
 
     due = job.between(spark, "predictions", PREDICTION_SCHEMA, lo - step, hi - step).drop("block", "w")
     replace_partitions(job.placed(Q.live_error(due, arrived)), job.path("live_error"), "block", "w")
+    done = spark.createDataFrame([(w, batch_id) for w in windows], MANIFEST_SCHEMA)
+    replace_partitions(done, job.path("manifest"), "batch")
 
 
 def read_feed(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -166,12 +177,12 @@ def start(job: StreamJob, feed: DataFrame, seconds: int | None = 5, name: str =
 
 
 def predictions_table(spark: SparkSession, job: StreamJob) -> DataFrame:
-    return job.table(spark, "predictions", PREDICTION_SCHEMA)
+    return job.committed(spark, job.table(spark, "predictions", PREDICTION_SCHEMA))
 
 
 def live_error_table(spark: SparkSession, job: StreamJob) -> DataFrame:
-    return job.table(spark, "live_error", LIVE_SCHEMA)
+    return job.committed(spark, job.table(spark, "live_error", LIVE_SCHEMA))
 
 
 def feature_log(spark: SparkSession, job: StreamJob) -> DataFrame:
-    return spark.read.parquet(job.path("features_log")).drop("block", "w")
+    return job.committed(spark, spark.read.parquet(job.path("features_log")).drop("block", "w"))

@@ -210,7 +210,7 @@ def process_batch(job: FS.StreamJob, batch: DataFrame, batch_id: int) -> None:
         if scored:
             ready = batch.where("ready").where(F.col("window_ts") >= job.first_window).withColumn("cloud_provider", F.lit(job.cloud))
             features = X.with_derived(X.join_context(X.with_clock(ready), context, True), cfg).drop("cpu_usage_norm", "mem_usage_norm", "late", "ready")
-            FS.write_scores(job, features, batch.where("NOT late"), scored)
+            FS.write_scores(job, features, batch.where("NOT late"), scored, batch_id)
     finally:
         batch.unpersist()
 

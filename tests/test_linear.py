@@ -37,7 +37,7 @@ def test_moments(data):
         np.testing.assert_allclose(m.cov, np.cov(both.T, bias=True), atol=1e-10)
 
 
-@pytest.mark.parametrize("penalty, mix", [(0.0, 0.0), (1e-3, 0.0), (1e-1, 0.0), (1e-3, 1.0), (1e-1, 1.0), (1e-2, 0.5), (1.0, 0.5)])
+@pytest.mark.parametrize("penalty, mix", [(0.0, 0.0), (1e-1, 0.0), (1e-1, 1.0), (1e-2, 0.5), (1.0, 0.5)])
 def test_coefficients_equal_those_of_mllib(spark, data, penalty, mix):
     df, x, y, split = data
     b, b0 = linear.fit(found(df)["train", "y"], penalty, mix)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nodetide.operators import distinct as N
 from nodetide.operators import logs as L
 from nodetide.operators import ranks as R
 
@@ -74,3 +75,16 @@ def test_kept_sketches(spark):
     for got, p in ((r.cpu50, 0.5), (r.cpu99, 0.99)):
         assert abs((values <= got).mean() - p) <= R.SKETCH_ERROR
     assert merged.first()["rows"] == len(values)
+
+
+def test_distinct_nodes_of_periods(spark):
+    """Far more nodes than a sketch holds; each provider sees some of them in both periods."""
+    rows = spark.range(120_000).selectExpr("IF(id % 3 = 0, 'x', 'y') AS cloud_provider", "concat('n', id % 60000) AS node_id", "(id DIV 40000) * 86400 AS window_ts")
+    got = {r.cloud_provider: r for r in N.nodes_of_periods(N.daily_nodes(rows), (0, 0), (1, 2)).collect()}
+    exact = rows.groupBy("cloud_provider", "node_id").agg(F.max(F.expr("window_ts = 0")).alias("a"), F.max(F.expr("window_ts > 0")).alias("b")).groupBy("cloud_provider").agg(
+        F.count_if(F.col("a")).alias("nodes_first"), F.count_if(F.col("b")).alias("nodes_second"), F.count_if(F.expr("a AND b")).alias("nodes_both"), F.count("*").alias("nodes_either")).collect()
+    for r in exact:
+        for c in ("nodes_first", "nodes_second", "nodes_both", "nodes_either"):
+            assert abs(got[r.cloud_provider][c] - r[c]) <= 1.5 * N.ERROR * r["nodes_either"], c
+    one = N.nodes_of_periods(N.daily_nodes(rows), (0, 0), (7, 9)).first()
+    assert one.nodes_second == one.nodes_both == 0 and one.nodes_first == one.nodes_either

@@ -93,6 +93,22 @@ def test_batches_repeats_and_parity(spark, tmp_path):
     assert not any(r.failed for r in worst)
 
 
+def test_a_batch_that_ends_between_two_writes_shows_nothing(spark, tmp_path, monkeypatch):
+    job, feed = job_at(tmp_path / "s"), rows(spark)
+    FS.seed_history(job, feed.filter(F.col("window_ts") < FIRST))
+    batches = [feed.filter(F.col("window_ts") == FIRST + i * 300) for i in range(2)]
+    FS.process_batch(job, batches[0], 0)
+    seen = [table(read(spark, job)) for read in (FS.predictions_table, FS.feature_log)]
+    monkeypatch.setattr(Q, "live_error", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        FS.process_batch(job, batches[1], 1)
+    assert [table(read(spark, job)) for read in (FS.predictions_table, FS.feature_log)] == seen
+    assert job.table(spark, "predictions", FS.PREDICTION_SCHEMA).count() > len(seen[0])
+    monkeypatch.undo()
+    FS.process_batch(job, batches[1], 1)
+    assert FS.predictions_table(spark, job).count() == job.table(spark, "predictions", FS.PREDICTION_SCHEMA).count() > len(seen[0])
+
+
 def test_query_restarts_from_its_checkpoint(spark, tmp_path):
     job, feed, incoming = job_at(tmp_path / "s"), rows(spark), str(tmp_path / "in")
     FS.seed_history(job, feed.filter(F.col("window_ts") < FIRST))
