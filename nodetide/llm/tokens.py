@@ -17,7 +17,7 @@ from collections.abc import Iterator
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
 
 #: Pieces remembered by a worker (about 200 bytes each), and the longest that is.
-CACHED, CACHED_LENGTH = 500_000, 48
+CACHED, CACHED_LENGTH = 1_000_000, 48
 #: Characters encoded at a time.
 SLICE = 1 << 19
 
