@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from nodetide.config import INSTANCE_PROVIDER, MODELING_COLUMNS, PERCENT_PROVIDER, TraceConfig
 from nodetide.operators.grid import _with_neighbours, chunk_id
-from nodetide.operators.logs import provider_quantiles
 from nodetide.operators.providers import per_provider
-from nodetide.operators.ranks import draw_rows
+from nodetide.operators.ranks import counted_quantiles, draw_rows
 
 SHORT_STEPS, LONG_STEPS = 5, 15
 LABEL = "target_cpu_future"
@@ -107,8 +106,8 @@ def quantile_split(rows: DataFrame, horizon: int, source: str = INSTANCE_PROVIDE
 
     Rows of further providers are kept as part `other`, which no model reads.
     """
-    marks = provider_quantiles(rows, {"q": "timestamp_sec"}, {"06": 0.06, "08": 0.08, "10": 0.10, "80": 0.80})
     t = "timestamp_sec"
+    marks = counted_quantiles(rows.withColumnRenamed(t, "q"), "q", {"06": 0.06, "08": 0.08, "10": 0.10, "80": 0.80})
     rule = f"""CASE
         WHEN cloud_provider NOT IN ('{source}', '{target}') THEN 'other'
         WHEN cloud_provider = '{source}' AND {t} <= q80 - {horizon} THEN 'train'

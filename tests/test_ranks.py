@@ -39,6 +39,26 @@ def test_exact_quantiles_equal_the_sketch_of_few_rows(spark):
     assert got == want and len(got) == 3
 
 
+def test_log_thresholds_are_exact_beyond_the_sketch(spark):
+    """More rows than the sketch holds, all of different values: every rank counts."""
+    values = np.random.default_rng(4).permutation(60_000) / 60_000
+    rows = spark.createDataFrame([("x", float(v), float(1 - v)) for v in values] + [("null", None, None)],
+                                 "cloud_provider string, cpu_usage_norm double, mem_usage_norm double")
+    cpu, mem = np.sort(values), np.sort(1 - values)
+    got = {r.cloud_provider: r for r in L.log_thresholds(rows).collect()}
+    assert [got["x"][f"{m}{q}"] for m in ("cpu", "mem") for q in (95, 99)] == [float(v[n]) for v in (cpu, mem) for n in (56_999, 59_399)]
+    assert set(got) == {"x", "null"} and got["null"].cpu95 is None
+
+
+@pytest.mark.parametrize("n", [1, 7, 100, 40_000])
+def test_counted_quantiles(spark, n):
+    values = np.random.default_rng(n).integers(0, 1 + n // 3, n) * 3600
+    rows = spark.createDataFrame([("x", int(v)) for v in values] + [("x", None), ("y", 5)], "cloud_provider string, q long")
+    got = {r.cloud_provider: r for r in R.counted_quantiles(rows, "q", {"00": 0.0, "06": 0.06, "80": 0.80, "100": 1.0}).collect()}
+    assert [got["x"][f"q{s}"] for s in ("00", "06", "80", "100")] == [int(np.sort(values)[max(1, -(-n * p // 100)) - 1]) for p in (0, 6, 80, 100)]
+    assert got["y"].q06 == 5
+
+
 def digest(seed, *keys):
     return int(hashlib.md5(f"{seed}:{':'.join(map(str, keys))}".encode()).hexdigest()[:13], 16)
 
