@@ -48,6 +48,30 @@ def test_saved_model_scores_and_refuses_other_scale(spark, table, tmp_path):
         store.read_metadata(spark, store.model_path(str(tmp_path), "google", "cpu", 1, "gbt_delta"), mode="spread")
 
 
+@pytest.mark.parametrize("kind", ["gbt", "rf"])
+def test_models_tried_on_all_rows_are_not_fitted_again(spark, table, monkeypatch, kind):
+    """The chosen model is the one a fit with its number of trees gives, without that fit."""
+    cfg = Tr.TrainConfig(train_frac=1.0, tune_frac=1.0, val_frac=1.0, max_iter=5, min_refit_trees=2, min_inst=1, targets=("cpu",), providers=("google",))
+    family = Tr.boosted_trees(cfg, depths=(2,), steps=(0.1, 0.9)) if kind == "gbt" else Tr.random_forest(cfg, depths=(2,), trees=(3, 4))
+    fits = []
+    for cls in (Tr.GBTRegressor, Tr.RandomForestRegressor):
+        fit = cls.fit
+        monkeypatch.setattr(cls, "fit", lambda self, rows, fit=fit: fits.append((self, rows)) or fit(self, rows))
+    run = Tr.train(table, family, cfg)
+    assert len(fits) == 2
+    got, size = run.models["google", "cpu"], run.sizes["google", "cpu"]
+    chosen = next(c for c in family.grid if c.desc == run.configs["google", "cpu"])
+    again = chosen.make(size).fit(fits[0][1])
+    assert got.getNumTrees == again.getNumTrees == size and got.toDebugString.split("\n")[1:] == again.toDebugString.split("\n")[1:]
+    assert got.treeWeights == again.treeWeights and got.featureImportances == again.featureImportances
+
+
+def test_few_rows_make_few_tasks(spark):
+    rows = spark.range(1000).repartition(8)
+    assert Tr._in_fewer_tasks(rows, 1000).rdd.getNumPartitions() == 1
+    assert Tr._in_fewer_tasks(rows, 200_000).rdd.getNumPartitions() == 8
+
+
 def test_stats_use_training_rows_and_floors(spark):
     rows = spark.createDataFrame(
         [("google", "train", 0.5, 0.5, 2, 0.0, 0.0), ("google", "test", 9.0, 9.0, 9, 9.0, 9.0)],
