@@ -121,31 +121,33 @@ def _all_pairs(now: DataFrame, mixed: DataFrame) -> DataFrame:
     return met.select(F.col("set").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def linked(distinct: DataFrame, texts_of) -> DataFrame | None:
-    """Columns node, root of the sets that are linked, None without candidates.
+def linked(distinct: DataFrame, texts_of, known: DataFrame) -> DataFrame | None:
+    """Columns node, root of the sets that are linked, None without links or candidates.
 
     `distinct` has one row a set with the columns of `SKETCH`. `texts_of` gets the sets that are candidates (column set) and
-    gives a text of each (columns set, text). Tables written on the way are deleted as soon as others replace them.
+    gives a text of each (columns set, text). `known` are links (columns u, v, a written table) that hold already. Tables written on the way are deleted as soon as others replace them.
     """
     keys = distinct.select("set", "n", "fp", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = staged(keys.join(shared, "key"), "members")
     wanted = members.select("set").distinct()
     if not members.limit(1).count():
-        discard(members)
-        return None
+        roots = components(known) if known.limit(1).count() else None
+        discard(members, known)
+        return roots
     sets = staged(map_rows(texts_of(wanted), lambda texts: {"hashes": [shingles(t).view(np.int64) for t in texts]}, "text",
                            "hashes array<long>", ["set"]).dropDuplicates(["set"]), "sets")
 
-    def grown(edges: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Edges with the links among further pairs, and the roots of them all."""
+    def grown(links: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The roots of what is linked by `links` or by a link among further pairs."""
         pairs = staged(pairs, "pairs")
         found = staged(_similar(pairs, sets), "links")
         discard(pairs)
-        edges = found if edges is None else edges.unionByName(found)
-        return edges, components(edges)
+        roots = components(links.unionByName(found))
+        discard(links, found)
+        return roots
 
-    edges, roots = grown(None, _small_tiles(members))
+    roots = grown(known, _small_tiles(members))
     large = members.where(F.col("size") > SMALL)
     for number in range(STARS + 1):
         now = staged(large.join(roots.withColumnRenamed("node", "set"), "set", "left").select(
@@ -155,11 +157,10 @@ def linked(distinct: DataFrame, texts_of) -> DataFrame | None:
             F.count("*").alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(own).alias("low"), F.max(own).alias("high")
         ).where("c0 <> c1").drop("c0", "c1"), "mixed")
         if mixed.limit(1).count():
-            discard(roots)
-            edges, roots = grown(edges, (_all_pairs if number == STARS else _stars)(now, mixed))
+            roots = grown(roots.select(F.col("root").alias("u"), F.col("node").alias("v")), (_all_pairs if number == STARS else _stars)(now, mixed))
             discard(now, mixed)
         else:
             discard(now, mixed)
             break
-    discard(members, sets, edges)
+    discard(members, sets)
     return roots

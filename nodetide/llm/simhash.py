@@ -167,12 +167,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
+def fingerprint_links(sets: DataFrame, radius: int = 2) -> DataFrame:
+    """Links u, v between sets (columns set, fp) that connect them as all pairs of fingerprints within the radius would; a written table."""
+    least = staged(sets.groupBy("fp").agg(F.min("set").alias("least")), "fingerprints")
+    equal = sets.join(least, "fp").where("set <> least").select(F.col("least").alias("u"), F.col("set").alias("v"))
+    left, right = (least.select(F.col("fp").alias(f"{end}_fp"), F.col("least").alias(end)) for end in "uv")
+    close = close_edges(least.select("fp"), radius).select(F.col("u").alias("u_fp"), F.col("v").alias("v_fp"))
+    links = staged(close.join(left, "u_fp").join(right, "v_fp").select("u", "v").unionByName(equal), "links")
+    discard(least)
+    return links
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of one document of every component, all columns as they are: the one with the smallest id.
 
-    Unlike `near_duplicates`, texts are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8 or
-    more; fingerprints of such texts differ in more bits than tiles of equal bits reach, so tiles are formed by MinHash
-    (`nearcopies`). Null texts count as empty; texts without words are one component. Very long texts are hashed slice by
+    Texts are linked as in `near_duplicates`, by fingerprints that differ in at most two bits, here of the set of five-word
+    shingles; further, if these sets have a Jaccard similarity of 0.8 or more. Fingerprints of such texts differ in more bits
+    than tiles of equal bits reach, so the tiles of this second step are formed by MinHash (`nearcopies`). Null texts count as empty; texts without words are one component. Very long texts are hashed slice by
     slice and are compared whole. Of several rows with the least id and text one is kept; of a component without ids the
     row whose text has the least hash.
     """
@@ -187,7 +198,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         at = distinct.join(wanted, "set", "left_semi").select("set", F.col("first.id").alias("at_id"), F.col("first.digest").alias("at_digest"))
         return rows.join(at, rows["id"].eqNullSafe(at["at_id"]) & (rows["digest"] == at["at_digest"])).select("set", "text")
 
-    roots, classes = nearcopies.linked(distinct, texts_of), distinct.select("set", "first")
+    roots, classes = nearcopies.linked(distinct, texts_of, fingerprint_links(distinct)), distinct.select("set", "first")
     if roots is None:
         kept = classes
     else:

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from nodetide.llm import simhash
+from nodetide.llm import nearcopies, simhash
+from nodetide.llm.components import components
 
 
 def slow_fingerprint(text):
@@ -89,3 +90,24 @@ def test_one_of_each_and_edges_of_the_input(spark):
     assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [(-1, "lone text of nobody"), (2, "a b c d"), (2, "other words here now"), (9, "")]
     empty = spark.createDataFrame([], schema)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
+
+
+def test_the_stage_links_fingerprints_within_two_bits(spark):
+    """Texts of two shingles, one of them in common: a similarity of a third, but fingerprints that differ in two bits or fewer."""
+    head = min((f"a b c d e{i}" for i in range(200)), key=lambda t: nearcopies.fingerprint(nearcopies.shingles(t)) & (2**64 - 1) and
+               bin(nearcopies.fingerprint(nearcopies.shingles(t)) & (2**64 - 1)).count("1"))
+    texts = [f"{head} x{i}" for i in range(1500)]
+    prints = np.array([nearcopies.fingerprint(nearcopies.shingles(t)) for t in texts]).view(np.uint64)
+    near = np.argwhere(np.triu(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 2, 1))
+    i, j = (int(x) for x in near[0])
+    far = next(k for k in range(1500) if k not in (i, j) and min(np.bitwise_count(prints[k] ^ prints[[i, j]])) > 2)
+    rows = [(1, texts[i]), (2, texts[j]), (3, texts[far]), (4, "")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
+def test_components_of_stars_paths_and_rings(spark):
+    edges = [(0, 1), (0, 2), (10, 11), (11, 12), (12, 13), (13, 10), (20, 22), (21, 22), (30, 30), (None, 31)]
+    edges += [(100 + i, 101 + i) for i in range(40)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: n // 10 * 10 for n in (0, 1, 2, 10, 11, 12, 13, 20, 21, 22)} | {100 + i: 100 for i in range(41)}
