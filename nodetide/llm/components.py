@@ -5,6 +5,7 @@ Every round writes its edges to the shared folder; no node's neighbours are gath
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,22 @@ def _unsettled(pairs: DataFrame) -> int:
     return nodes.agg(F.count_if(F.expr("below = 1 and edges > 1"))).first()[0]
 
 
+def spanning(n: int, pairs) -> np.ndarray:
+    """The smallest index that each of n nodes is linked with through the pairs."""
+    root = np.arange(n)
+    for x, y in pairs:
+        while True:
+            a, b = root[x], root[y]
+            differ = a != b
+            if not differ.any():
+                break
+            a, b = a[differ], b[differ]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(root, short := root[root]):
+                root = short
+    return root
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Columns node, root: for every node of an edge the smallest node that it is connected with.
 

@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodetide.llm.common import prepare, staged
-from nodetide.llm.components import components
-from nodetide.llm.simhash import spanning
+from nodetide.llm.components import components, spanning
 
 SEED = 20240
 #: Vectors a bucket is meant to hold, rows of a block in a bucket that is too large, and rows compared at a time.

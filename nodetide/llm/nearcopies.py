@@ -7,20 +7,24 @@ pair of similarity 0.8 shares none with a probability of 1 %, one of 0.85 with 4
 tile, pairs whose sizes or fingerprints are too far apart are skipped by exclusive-or and bit counts, and a link is a pair
 whose similarity, counted exactly, is 4/5 or more.
 
-Only the components of the links are wanted. All pairs of a small tile are compared at once. In a large tile every set is
-compared with two chosen members, by one pair a set over all its tiles, and what this does not connect with others chosen;
-what is left after `STARS` rounds is compared pair by pair, a tile in blocks. No pair is left out but those connected already.
+Only the components of the links are wanted. All pairs of a small tile are compared at once. A larger tile whose sets are not
+all connected by then is compared whole, inside a task and in cells of two blocks: a block holds each of its sets once, common
+shingles of all its pairs are counted slice by slice of the shingles, and what leaves the task is a forest, never pairs. So
+rows grow with a tile's members and not with their square. In a tile of more than `CELLS` blocks every set is first compared
+with two chosen members, by one pair a set over all its tiles, and again with others, `STARS` times; what that has connected
+is not compared again. No pair is left out but those connected already.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodetide.llm.common import discard, map_rows, staged
-from nodetide.llm.components import components
+from nodetide.llm.components import components, spanning
 
 WIDTH = 5
 BANDS, ROWS = 32, 9
@@ -29,7 +33,10 @@ SEED = 42
 RADIUS = 20
 #: Shingles whose minima are taken at a time, members of a small tile, members of a block, parts of a set's partners.
 AT_ONCE, SMALL, BLOCK, PARTS = 2048, 8, 512, 64
-STARS = 6
+#: Shingles a block is meant to hold at most, and shingles that are flagged at a time.
+HELD, COLUMNS = 1 << 20, 4096
+#: Blocks of a tile that need no chosen members first, and rounds of these.
+CELLS, STARS = 8, 6
 
 _rng = np.random.default_rng(SEED)
 _FLIP = _rng.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
@@ -110,15 +117,48 @@ def _stars(now: DataFrame, mixed: DataFrame) -> DataFrame:
     return best.select(F.col("best.other").alias("a"), F.col("set").alias("b"))
 
 
-def _all_pairs(now: DataFrame, mixed: DataFrame) -> DataFrame:
-    """All close pairs of the mixed tiles that are not connected yet, a large tile block by block."""
-    held = now.join(mixed.select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("k")), "key").withColumn(
-        "own", F.pmod(F.xxhash64("set"), F.col("k")).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    left = held.select("key", F.col("own").alias("i"), each.alias("j"), "set", "n", "fp", "comp")
-    right = held.select("key", each.alias("i"), F.col("own").alias("j"), *_other(F.col("comp").alias("other_comp")))
-    met = left.join(right, ["key", "i", "j"]).where("set < other and comp <> other_comp").where(_CLOSE)
-    return met.select(F.col("set").alias("a"), F.col("other").alias("b")).distinct()
+def common_shingles(hashes: list[np.ndarray]) -> np.ndarray:
+    """How many shingles every two of the sets share; `COLUMNS` shingles at a time, as rows of flags for the sets that hold them."""
+    codes, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)[1:]
+    owner, met = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]), counts > 1
+    owner, place = owner[met[codes]], (np.cumsum(met) - 1)[codes][met[codes]]
+    order = np.lexsort((owner, place // COLUMNS))
+    owner, place = owner[order], place[order]
+    common = np.zeros((len(hashes), len(hashes)), np.int32)
+    slices = np.searchsorted(place // COLUMNS, np.arange(-(-int(met.sum()) // COLUMNS) + 1))
+    for lo, hi in zip(slices[:-1], slices[1:]):
+        at, own = place[lo:hi] % COLUMNS, owner[lo:hi]
+        held = np.zeros((COLUMNS, len(hashes)), np.uint8)
+        held[at, own] = 1
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        for i, part in zip(own[starts], np.split(at, starts[1:])):
+            common[i] += held[part].sum(axis=0, dtype=np.int32)
+    return common
+
+
+def _cell_edges(rows: pd.DataFrame) -> pd.DataFrame:
+    """Edges u, v that connect the sets of a cell as all links do that are not connected yet."""
+    sets, comp = rows["set"].to_numpy(np.int64), rows["comp"].to_numpy(np.int64)
+    fp, n = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    close = (comp[:, None] != comp[None, :]) & (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= RADIUS)
+    close &= 5 * np.minimum(n[:, None], n[None, :]) >= 4 * np.maximum(n[:, None], n[None, :])
+    used = np.flatnonzero(close.any(axis=1))
+    if not len(used):
+        return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+    sets, n, close = sets[used], n[used], close[np.ix_(used, used)]
+    close &= common_shingles([np.asarray(rows["hashes"].iat[i], np.int64) for i in used]) * 9 >= (n[:, None] + n[None, :]) * 4
+    root = spanning(len(sets), [np.nonzero(np.triu(close))])
+    moved = root != np.arange(len(sets))
+    return pd.DataFrame({"u": sets[root[moved]], "v": sets[moved]})
+
+
+def _tiles_compared(now: DataFrame, mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges u, v that connect the sets of the mixed tiles as all their links would, a large tile in cells of two blocks."""
+    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("held") / HELD)).cast("int")
+    dealt = now.join(mixed.select("key", blocks.alias("k")), "key").withColumn("own", F.pmod(F.xxhash64("set"), F.col("k")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cells = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set", "n", "fp", "comp")
+    return cells.join(sets, "set").groupBy("key", "i", "j").applyInPandas(_cell_edges, "u long, v long")
 
 
 def linked(distinct: DataFrame, texts_of, known: DataFrame) -> DataFrame | None:
@@ -138,29 +178,40 @@ def linked(distinct: DataFrame, texts_of, known: DataFrame) -> DataFrame | None:
     sets = staged(map_rows(texts_of(wanted), lambda texts: {"hashes": [shingles(t).view(np.int64) for t in texts]}, "text",
                            "hashes array<long>", ["set"]).dropDuplicates(["set"]), "sets")
 
-    def grown(links: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The roots of what is linked by `links` or by a link among further pairs."""
-        pairs = staged(pairs, "pairs")
-        found = staged(_similar(pairs, sets), "links")
-        discard(pairs)
+    def grown(links: DataFrame, further: DataFrame) -> DataFrame:
+        """The roots of what is linked by `links` or by further links."""
+        found = staged(further, "links")
         roots = components(links.unionByName(found))
         discard(links, found)
         return roots
 
-    roots = grown(known, _small_tiles(members))
+    def grown_by(links: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The same, by the links among pairs."""
+        pairs = staged(pairs, "pairs")
+        roots = grown(links, _similar(pairs, sets))
+        discard(pairs)
+        return roots
+
+    def as_links(roots: DataFrame) -> DataFrame:
+        return roots.select(F.col("root").alias("u"), F.col("node").alias("v"))
+
+    roots = grown_by(known, _small_tiles(members))
     large = members.where(F.col("size") > SMALL)
     for number in range(STARS + 1):
         now = staged(large.join(roots.withColumnRenamed("node", "set"), "set", "left").select(
             "key", "set", "n", "fp", F.coalesce("root", "set").alias("comp")), "labelled")
         own = F.struct(F.xxhash64("set", F.lit(number)).alias("h"), "set", "n", "fp", "comp")
         mixed = staged(now.groupBy("key").agg(
-            F.count("*").alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(own).alias("low"), F.max(own).alias("high")
-        ).where("c0 <> c1").drop("c0", "c1"), "mixed")
-        if mixed.limit(1).count():
-            roots = grown(roots.select(F.col("root").alias("u"), F.col("node").alias("v")), (_all_pairs if number == STARS else _stars)(now, mixed))
-            discard(now, mixed)
-        else:
-            discard(now, mixed)
+            F.count("*").alias("rows"), F.sum("n").alias("held"), F.min("comp").alias("c0"), F.max("comp").alias("c1"),
+            F.min(own).alias("low"), F.max(own).alias("high")).where("c0 <> c1").drop("c0", "c1"), "mixed")
+        huge = mixed.where(F.col("rows") > CELLS * BLOCK)
+        again = number < STARS and huge.limit(1).count()
+        if again:
+            roots = grown_by(as_links(roots), _stars(now, huge))
+        elif mixed.limit(1).count():
+            roots = grown(as_links(roots), _tiles_compared(now, mixed, sets))
+        discard(now, mixed)
+        if not again:
             break
     discard(members, sets)
     return roots

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from nodetide.llm import nearcopies
 from nodetide.llm.common import discard, map_rows, prepare, spare_name, staged
-from nodetide.llm.components import components
+from nodetide.llm.components import components, spanning
 
 SEED = 42
 BITS = 64
@@ -80,22 +80,6 @@ def _close_pairs(left: np.ndarray, right: np.ndarray, radius: int, same: bool):
                 yield x, y
 
 
-def spanning(n: int, pairs) -> np.ndarray:
-    """The smallest index that each of n nodes is linked with through the pairs."""
-    root = np.arange(n)
-    for x, y in pairs:
-        while True:
-            a, b = root[x], root[y]
-            differ = a != b
-            if not differ.any():
-                break
-            a, b = a[differ], b[differ]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while not np.array_equal(root, short := root[root]):
-                root = short
-    return root
-
-
 def _tile_edges(radius: int):
     def edges(rows: pd.DataFrame) -> pd.DataFrame:
         fp = rows["fp"].to_numpy(np.int64).view(np.uint64)

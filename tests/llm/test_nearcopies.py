@@ -87,3 +87,40 @@ def test_nulls_ties_and_scratch(spark):
     kept = simhash.one_of_each(df).collect()
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept) == [(False, 0), (True, 1), (True, 4)]
     assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def crowd_of(n):
+    """Copies of one text with edits of their own: most share tiles, and few are similar enough to be linked."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(100)]
+    return [(i, " ".join(edited(words, rng, rng.choice([1, 2, 2, 2, 3])))) for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_large_tiles_move_rows_in_proportion_to_their_members(spark, monkeypatch, block):
+    written, real = {}, nearcopies.staged
+
+    def counted(df, name):
+        table = real(df, name)
+        written[name] = max(written.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(nearcopies, "staged", counted)
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    rows = crowd_of(150)
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets = [(nearcopies.fingerprint(s), set(s.tolist())) for s in (nearcopies.shingles(t) for _, t in rows)]
+    root = list(range(len(rows)))
+    for i, (fp, a) in enumerate(sets):
+        for j, (other, b) in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b) or bin((fp ^ other) & (2**64 - 1)).count("1") <= 2:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    assert written["pairs"] <= 8 * len(rows) and written["links"] <= written["members"]
+
+
+def test_common_shingles_are_counted_exactly(monkeypatch):
+    monkeypatch.setattr(nearcopies, "COLUMNS", 7)
+    sets = [nearcopies.shingles(t) for _, t in crowd_of(30)] + [nearcopies.shingles("one two")]
+    common = nearcopies.common_shingles(sets)
+    assert all(common[i][j] == len(set(a.tolist()) & set(b.tolist())) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
