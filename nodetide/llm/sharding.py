@@ -13,10 +13,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodetide.llm.common import numbered, spare_name, staged
+from nodetide.llm.common import discard, numbered, spare_name, staged
 
 ROUNDS = 4
 SHARDS, SEED = 16, 42
+#: Numbers outside the table that a task permutes; there are fewer than twice the root of the rows.
+AT_ONCE = 1 << 18
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -54,14 +56,17 @@ class Permutation:
     def _longest(self, spark: SparkSession, step) -> int:
         """How often a number that left the table has to be permuted again at most.
 
-        The numbers outside, below 2 * side of them, are permuted until no more of them come back; those left then are on
+        The numbers outside, below 2 * side of them and so few tasks, are permuted until no more of them come back; those left then are on
         cycles wholly outside, which no row enters.
         """
         end, walks = self.side * self.side, 0
-        outside, left = spark.range(self.rows, max(end, self.rows)), max(end - self.rows, 0)
+        left = max(end - self.rows, 0)
+        outside = spark.range(self.rows, self.rows + left, numPartitions=-(-left // AT_ONCE) or 1)
         while left:
+            tables, before = [outside] if walks else [], left
             outside = staged(outside.select(step(F.col("id")).alias("id")).where(F.col("id") >= self.rows), "walks")
-            before, left = left, outside.count()
+            discard(*tables)
+            left = outside.count()
             if left == before:
                 break
             walks += 1

@@ -79,3 +79,16 @@ def test_empty_table_and_no_python(spark):
     assert "Python" not in sharding.assign(df)._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
         sharding.assign(df, shards=0)
+
+
+def test_numbers_outside_the_table_make_few_tasks(spark, monkeypatch):
+    """They are about twice the root of the rows: each further task and file costs memory and is worth nothing."""
+    tasks, real = [], sharding.staged
+
+    def counted(df, name):
+        tasks.append(df.rdd.getNumPartitions())
+        return real(df, name)
+
+    monkeypatch.setattr(sharding, "staged", counted)
+    order = sharding.Permutation(spark, 1_000_002, 42)
+    assert order.walks[0] > 0 and set(tasks) == {1}
