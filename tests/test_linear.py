@@ -78,3 +78,26 @@ def test_edges(spark, tmp_path):
     from pyspark.ml.regression import LinearRegressionModel
     again = LinearRegressionModel.load(str(tmp_path / "m"))
     assert again.intercept == b0 and list(again.coefficients) == list(b)
+
+
+def test_horizons_share_their_statistics_and_baselines_need_one_scale(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from nodetide.plans import training_queries as TQ
+
+    runs, stats = [], []
+    row = ("linear_delta", "a->b", "cpu", 5, "per_machine", 1, 1.0, 1.0)
+    schema = "model string, experiment string, target string, h_min int, view string, n long, rmse_persist double, rmse_ma6 double"
+
+    def train(table, family, cfg, *figures):
+        runs.append((cfg.horizon, cfg.mode))
+        return SimpleNamespace(results=spark.createDataFrame([row], schema))
+
+    monkeypatch.setattr(TQ, "feature_stage", lambda spark, sf: spark.range(1))
+    monkeypatch.setattr(TQ.S, "train_stats", lambda table: stats.append(1) or table)
+    monkeypatch.setattr(TQ.Tr, "train", train)
+    monkeypatch.setattr(TQ.store, "save_run", lambda *given: None)
+    assert TQ.experiment_baselines(spark, "made up").count() == 3
+    assert runs == [(h, "delta") for h in (1, 6, 12)]
+    assert TQ.linear_runs(spark, "made up").count() == 6
+    assert sorted(runs) == sorted((h, m) for h in (1, 6, 12) for m in ("delta", "spread")) and len(stats) == 1
