@@ -72,6 +72,30 @@ def test_few_rows_make_few_tasks(spark):
     assert Tr._in_fewer_tasks(rows, 200_000).rdd.getNumPartitions() == 8
 
 
+def test_tasks_are_those_of_the_labelled_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([("google", 1.0, None), ("google", None, None), ("alibaba", 2.0, 1.0)], "cloud_provider string, y_cpu double, y_mem double")
+    assert Tr._labelled_rows({"train": rows}, TINY) == {
+        ("train", "google", "cpu"): 1, ("train", "google", "mem"): 0, ("train", "alibaba", "cpu"): 1, ("train", "alibaba", "mem"): 1}
+    monkeypatch.setattr(Tr, "ROWS_A_TASK", 10)
+    asked = []
+    few = Tr._in_fewer_tasks
+    monkeypatch.setattr(Tr, "_in_fewer_tasks", lambda rows, n: asked.append(n) or few(rows, n))
+    table = spark.createDataFrame(
+        [("google", f"n{i % 4}", i, "train" if i < 80 else "val" if i < 90 else "test", .5, .5, 3, .1, .1, .5, .5, i / 100 if i % 2 else None, .5) for i in range(100)],
+        "cloud_provider string, node_id string, window_ts long, split string, cpu double, mem double, n_rec long, cpu_d1 double, mem_d1 double, "
+        "cpu_mean6 double, mem_mean6 double, y_cpu_h1 double, y_mem_h1 double").repartition(16)
+    cfg = Tr.TrainConfig(train_frac=1.0, tune_frac=1.0, val_frac=1.0, max_iter=1, min_refit_trees=1, min_inst=1, targets=("cpu",), providers=("google",))
+    Tr.train(table, Tr.boosted_trees(cfg, depths=(1,), steps=(.1,)), cfg)
+    assert asked == [40, 5]
+
+
+def test_the_longest_fits_start_first():
+    family = Tr.boosted_trees(TINY)
+    started = Tr._longest_first({("google", "cpu"): list(family.grid), ("google", "mem"): list(family.grid)[:3]})
+    assert [(p[1], c.desc.split(",")[0]) for p, c in started[:4]] == [("cpu", "depth=7"), ("cpu", "depth=7"), ("cpu", "depth=5"), ("cpu", "depth=5")]
+    assert len(started) == 9 and started[-1][1].desc.startswith("depth=3")
+
+
 def test_stats_use_training_rows_and_floors(spark):
     rows = spark.createDataFrame(
         [("google", "train", 0.5, 0.5, 2, 0.0, 0.0), ("google", "test", 9.0, 9.0, 9, 9.0, 9.0)],
