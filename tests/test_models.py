@@ -96,6 +96,16 @@ def test_the_longest_fits_start_first():
     assert len(started) == 9 and started[-1][1].desc.startswith("depth=3")
 
 
+def test_forests_keep_the_rows_places_and_stay_the_same(spark, table):
+    cfg = Tr.TrainConfig(train_frac=1.0, tune_frac=1.0, val_frac=1.0, min_inst=1)
+    Tr.enable_checkpoints(spark)
+    rows = Tr.for_target(Tr.vectors(table, S.train_stats(table), cfg, ["cpu", "mem", "cpu_d1", "mem_d1"]), "cpu").cache()
+    estimator = Tr.random_forest(cfg, depths=(12,), trees=(5,)).grid[0].make(0)
+    assert estimator.getCacheNodeIds()
+    kept, plain = estimator.fit(rows), estimator.copy().setCacheNodeIds(False).fit(rows)
+    assert kept.toDebugString.split("\n")[1:] == plain.toDebugString.split("\n")[1:]
+
+
 def test_stats_use_training_rows_and_floors(spark):
     rows = spark.createDataFrame(
         [("google", "train", 0.5, 0.5, 2, 0.0, 0.0), ("google", "test", 9.0, 9.0, 9, 9.0, 9.0)],
