@@ -29,25 +29,33 @@ def stepper(policy: D.Policy, columns: list[str]):
         nxt, action, streak, cooling = D.tables(policy)
         at, kind, when, *before = state.get if state.exists else (0, None, None, None, None, None)
         # A group is one node's windows of one trigger, which the trigger's file limit bounds.
-        rows = pd.concat(list(frames)).sort_values("timestamp", ignore_index=True)
-        codes, n = rows["code"].to_numpy(np.int64), len(rows)
-        path = np.empty(n + 1, np.int64)
-        path[0] = at
-        for t in range(n):  # each state depends on the one before
-            path[t + 1] = nxt[path[t], codes[t]]
-        acts = action[path[:-1], codes]
+        parts = list(frames)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        order = np.argsort(rows["timestamp"].to_numpy(np.int64))
+        stamps, codes, cpu, mem = (rows[c].to_numpy(kind_of)[order] for c, kind_of in (
+            ("timestamp", np.int64), ("code", np.int64), ("cpu", float), ("mem", float)))
+        moves, walked, n = nxt.tolist(), [at], len(rows)
+        for code in codes.tolist():  # each state depends on the one before
+            walked.append(moves[walked[-1]][code])
+        path = np.array(walked[:-1])
+        acts = action[path, codes]
         spot = np.maximum.accumulate(np.where(acts > 0, np.arange(n), -1))
-        stamps = rows["timestamp"].to_numpy(np.int64)
-        out = rows[columns].copy()
-        out["act"], out["streak"], out["cooling"] = acts, streak[path[:-1], codes], cooling[path[:-1]]
-        out["last_kind"] = pd.array([int(acts[s]) if s >= 0 else kind for s in spot], "Int64")
-        out["last_ts"] = pd.array([int(stamps[s]) if s >= 0 else when for s in spot], "Int64")
-        for name, source, first in zip(("prev_timestamp", "prev_cpu", "prev_mem"), ("timestamp", "cpu", "mem"), before):
-            earlier = [first, *rows[source].tolist()[:-1]]
-            out[name] = pd.array(earlier, "Int64") if source == "timestamp" else pd.array(earlier, "Float64")
-        known = [None if pd.isna(x) else int(x) for x in (out["last_kind"].iloc[-1], out["last_ts"].iloc[-1])]
-        state.update((int(path[-1]), *known, int(stamps[-1]), float(rows["cpu"].iloc[-1]), float(rows["mem"].iloc[-1])))
-        yield out
+        nothing = (spot < 0) & (kind is None)
+        first = np.zeros(n, bool)
+        first[0] = before[0] is None
+        # Whole arrays make one frame: a node has few windows, and setting columns one by one costs more than its steps.
+        out = {c: rows[c].array.take(order) for c in columns}
+        out |= {
+            "act": acts, "streak": streak[path, codes], "cooling": cooling[path],
+            "last_kind": pd.arrays.IntegerArray(np.where(spot < 0, kind or 0, acts[spot]), nothing),
+            "last_ts": pd.arrays.IntegerArray(np.where(spot < 0, when or 0, stamps[spot]), nothing),
+            "prev_timestamp": pd.arrays.IntegerArray(np.append(before[0] or 0, stamps[:-1]), first),
+            "prev_cpu": np.append(np.nan if before[1] is None else before[1], cpu[:-1]),
+            "prev_mem": np.append(np.nan if before[2] is None else before[2], mem[:-1]),
+        }
+        known = (int(acts[spot[-1]]), int(stamps[spot[-1]])) if spot[-1] >= 0 else (kind, when)
+        state.update((walked[-1], *known, int(stamps[-1]), float(cpu[-1]), float(mem[-1])))
+        yield pd.DataFrame(out)
 
     return run
 
@@ -60,13 +68,15 @@ def read_predictions(spark: SparkSession, path: str, files_per_trigger: int = 1)
 
 
 def decisions(predictions: DataFrame, policy: D.Policy = D.Policy()) -> DataFrame:
-    """Streaming records with the columns of the batch; all but the machine itself are plain columns."""
-    flagged = D.alert_levels(predictions, policy).withColumn(
-        "code", F.expr(f"CASE WHEN is_crit THEN {D.CRITICAL} WHEN is_low THEN {D.LOW} ELSE {D.CALM} END"))
-    columns = [c for c in flagged.columns if c != "code"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flagged.select(*columns).schema.fields)
-    stepped = flagged.groupBy("node_id").applyInPandasWithState(
-        stepper(policy, columns), f"{schema}, {MACHINE}", STATE, "append", GroupStateTimeout.NoTimeout)
+    """Streaming records with the columns of the batch; all but the machine itself are plain columns. Thresholds and flags
+    are made again from the predictions after the machine, so that it passes on those alone."""
+    given = predictions.columns
+    coded = D.alert_levels(predictions, policy).select(*given, "cpu", "mem", F.expr(
+        f"CASE WHEN is_crit THEN {D.CRITICAL} WHEN is_low THEN {D.LOW} ELSE {D.CALM} END").alias("code"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in predictions.schema.fields)
+    machine = coded.groupBy("node_id").applyInPandasWithState(
+        stepper(policy, given), f"{schema}, {MACHINE}", STATE, "append", GroupStateTimeout.NoTimeout)
+    stepped = D.alert_levels(machine, policy)
     prev = F.struct(F.col("prev_timestamp").alias("timestamp"), F.col("prev_cpu").alias("cpu"), F.col("prev_mem").alias("mem"))
     return D.records_of(stepped.withColumn("prev", prev), policy)
 
