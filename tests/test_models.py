@@ -8,6 +8,7 @@ from nodetide.models import train as Tr
 from nodetide.operators import modeling as M
 from nodetide.operators import quality as Q
 from nodetide.operators import scaling as S
+from nodetide.plans import training_queries as TQ
 
 TINY = Tr.TrainConfig(train_frac=1.0, tune_frac=1.0, val_frac=1.0, max_iter=2, min_refit_trees=2, min_inst=1)
 
@@ -66,6 +67,23 @@ def test_models_tried_on_all_rows_are_not_fitted_again(spark, table, monkeypatch
     assert got.treeWeights == again.treeWeights and got.featureImportances == again.featureImportances
 
 
+def test_results_wait_until_they_are_read(spark, table, monkeypatch):
+    asked, judge = [], Tr.experiments
+    monkeypatch.setattr(Tr, "experiments", lambda *args: asked.append(1) or judge(*args))
+    run = Tr.train(table, Tr.linear_family(TINY, penalties=(1e-3,)), TINY)
+    assert len(run.models) == 4 and asked == []
+    assert run.results.count() == run.results.count() == 16 and asked == [1]
+
+
+def test_only_the_family_that_is_read_is_trained(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(TQ, "_RUNS", {})
+    monkeypatch.setattr(TQ, "run_of", lambda spark, sf, family: family)
+    monkeypatch.setattr(store, "save_run", lambda run, root, cfg, spark: made.append((run, root)))
+    trees, lines = TQ.saved(spark, "sf", "gbt_delta"), TQ.saved(spark, "sf", "linear_delta")
+    assert TQ.saved(spark, "sf", "gbt_delta") == trees and made == [("gbt", trees), ("linear", lines)] and trees != lines
+
+
 def test_few_rows_make_few_tasks(spark):
     rows = spark.range(1000).repartition(8)
     assert Tr._in_fewer_tasks(rows, 1000).rdd.getNumPartitions() == 1
